@@ -135,8 +135,7 @@ def corpus_stats(spark, sf_dir):
 )
 def ngram_vocabulary(spark, sf_dir):
     grams = vocabulary.ngram_tokens(normalize.normalize_light(documents(spark, sf_dir)))
-    statistics = vocabulary.term_statistics(grams)
-    return vocabulary.filter_terms(statistics, 5, 0.9, keep_terms=None).select("term", "df", "cf")
+    return vocabulary.frequent_terms(grams, 5, 0.9, keep_terms=None).select("term", "df", "cf")
 
 
 @query(

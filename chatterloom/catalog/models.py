@@ -14,25 +14,30 @@ from chatterloom.catalog.texts import assembled
 from chatterloom.config import Settings
 from chatterloom.operators import clusters, coherence, normalize, phrases, topics, vocabulary
 from chatterloom.plans.analysis import ConversationAnalysis
+from chatterloom.sources.staging import StagingArea
 
 #: Short training, so that a query takes seconds; the data is always the whole corpus.
 TRIAL = Settings(start_topics=3, end_topics=5, max_updates=10)
 
 
-def _prepared(corpus: DataFrame, vocab: DataFrame) -> tuple[DataFrame, list[str]]:
-    terms = vocabulary.vocabulary_terms(vocab)
-    features = vocabulary.vectorizer(terms).transform(corpus)
-    return features.persist(StorageLevel.MEMORY_AND_DISK), terms
+def _prepared(corpus: DataFrame, no_above: float = 0.95) -> tuple[DataFrame, list[str]]:
+    vectorize = vocabulary.fit_vectorizer(corpus, no_above=no_above)
+    features = vectorize.transform(corpus).select("conv_id", "features")
+    return features.persist(StorageLevel.MEMORY_AND_DISK), vectorize.vocabulary
 
 
 def _phrase_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = normalized(spark, sf_dir)
-    return phrases.apply_phrases(corpus, phrases.score_phrases(corpus))
+    """Final tokens of all documents, staged because training and scoring both read them."""
+    area = StagingArea(spark)
+    corpus = area.stage(normalized(spark, sf_dir).select("conv_id", "tokens"), "normalized")
+    return area.stage(
+        phrases.apply_phrases(corpus, phrases.score_phrases(corpus, area=area)), "corpus"
+    )
 
 
 def _fitted(spark: SparkSession, sf_dir: str, k: int = 4):
     corpus = _phrase_corpus(spark, sf_dir)
-    features, terms = _prepared(corpus, vocabulary.build_vocabulary(corpus))
+    features, terms = _prepared(corpus)
     model = topics.fit_topics(features, terms, k, features.count(), TRIAL)
     return corpus, features, model
 
@@ -70,18 +75,18 @@ def top_topics(spark, sf_dir):
 @query("lda_sweep")
 def lda_sweep(spark, sf_dir):
     corpus = _phrase_corpus(spark, sf_dir)
-    features, terms = _prepared(corpus, vocabulary.build_vocabulary(corpus))
+    features, terms = _prepared(corpus)
     n_docs = features.count()
-    _models, scores = topics.sweep_topics(features, features.select("tokens"), terms, n_docs, TRIAL)
+    _models, scores = topics.sweep_topics(features, corpus, terms, n_docs, TRIAL)
+    features.unpersist()
     return scores
 
 
 def _ngram_model(spark: SparkSession, sf_dir: str):
     """Whole-corpus updates over words and word pairs."""
-    plain = normalize.normalize_light(documents(spark, sf_dir))
-    grams = vocabulary.ngram_tokens(plain)
-    vocab = vocabulary.build_vocabulary(grams, no_below=5, no_above=0.9)
-    features, terms = _prepared(grams, vocab)
+    plain = normalize.normalize_light(documents(spark, sf_dir)).select("conv_id", "tokens")
+    grams = StagingArea(spark).stage(vocabulary.ngram_tokens(plain), "grams")
+    features, terms = _prepared(grams, no_above=0.9)
     try:
         model = topics.fit_topics(
             features, terms, 8, features.count(), TRIAL, whole_corpus_updates=10

@@ -207,7 +207,8 @@ _SPACES = r"[ \t\n\x0B\f\r]+"
       SELECT doc_id AS conv_id, ' "' || lang || chr(9) || source || '''s"  ' || text AS label
       FROM documents)
     SELECT conv_id, array_to_string(
-      [upper(substring(w, 1, 1)) || lower(substring(w, 2))
+      [CASE substring(w, 1, 1) WHEN 'ß' THEN 'Ss' ELSE upper(substring(w, 1, 1)) END
+       || lower(substring(w, 2))
        FOR w IN regexp_split_to_array(translate(label, '"''', ''), '{_SPACES}') IF w <> ''], ' ')
       AS topic_label
     FROM raw""",

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Letters, numbers and underscore of any script; Java's own \w is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
+#: A word that is not a number. A number is refused at each of its characters; a word that merely
+#: starts with digits is not, because a letter or underscore follows them.
+WORD_NOT_NUMBER = r"(?!\p{N}++(?![\p{L}_]))[\p{L}\p{N}_]++"
 #: {{placeholder}} on one line. (?d) makes \n the only line end.
 PLACEHOLDER = r"(?d)\{\{.*?\}\}"
 
@@ -27,8 +30,10 @@ def raw_tokens(text: Column) -> Column:
     return words(strip_placeholders(F.lower(text)))
 
 
-def is_numeric(token: Column) -> Column:
-    return token.rlike(r"^\p{N}+$")
+def tokens_without_numbers(text: Column) -> Column:
+    """Raw tokens except those made of number characters only, found in one scan."""
+    prepared = strip_placeholders(F.lower(text))
+    return F.regexp_extract_all(prepared, F.lit(f"({WORD_NOT_NUMBER})"), F.lit(1))
 
 
 def keep_content(tokens: Column, stop_words: Iterable[str] = (), min_chars: int = 2) -> Column:
@@ -42,20 +47,18 @@ def keep_content(tokens: Column, stop_words: Iterable[str] = (), min_chars: int
     return F.filter(tokens, wanted)
 
 
-def drop_numeric(tokens: Column) -> Column:
-    return F.filter(tokens, lambda token: ~is_numeric(token))
-
-
 def capitalize_words(text: Column) -> Column:
     """Capitalise each word, lower-case its rest, single spaces between words."""
+    def capitalized(word: Column) -> Column:
+        # A letter without a capital of its own may become two, of which only one is large.
+        head = F.upper(F.substring(word, 1, 1))
+        return F.concat(
+            F.substring(head, 1, 1), F.lower(F.substr(head, F.lit(2))),
+            F.lower(F.substr(word, F.lit(2))),
+        )
+
     parts = F.filter(F.split(text, r"\s+"), lambda word: word != "")
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda word: F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2)))),
-        ),
-        " ",
-    )
+    return F.array_join(F.transform(parts, capitalized), " ")
 
 
 def drop_quotes(text: Column) -> Column:
@@ -80,9 +83,8 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.regexp_count(word, F.lit("[aeiouy]+")), F.lit(1))
 
 
-def reading_grade(text: Column) -> Column:
-    """Flesch-Kincaid grade level: sentence length and syllables per word."""
-    tokens = words(F.lower(text))
+def reading_grade(text: Column, tokens: Column) -> Column:
+    """Flesch-Kincaid grade level of a text and its lower-cased words."""
     n_words = F.size(tokens).cast("double")
     n_sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
     n_syllables = F.aggregate(tokens, F.lit(0), lambda total, word: total + syllables(word))

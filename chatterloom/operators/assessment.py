@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chatterloom.functions import prompts
 from chatterloom.functions import text as T
@@ -15,6 +15,7 @@ from chatterloom.functions.evaluation import (
     CRITERIA, evaluation_fields, evaluation_lines, number_in_line,
 )
 from chatterloom.functions.wordlists import STOP_WORDS
+from chatterloom.operators.evaluate import compute_once
 
 #: Runs inside tasks over batches of rows with `instruction` and `request`, and returns each batch
 #: with its answers in `evaluation`. Batches may be repeated when a task is retried.
@@ -36,17 +37,16 @@ def score_with(df: DataFrame, scorer: Scorer, output: str = "evaluation") -> Dat
 
     Store the result before using it twice, or the scorer is called again for every use.
     """
-    schema = StructType(df.schema.fields).add(output, StringType())
+    schema = StructType([*df.schema.fields, StructField(output, StringType())])
     return df.mapInPandas(scorer, schema)
 
 
 def parse_evaluations(df: DataFrame, column: str = "evaluation") -> DataFrame:
     """Add the five scores, `average_score`, `assessment` and `out_of_range`; drop the raw text."""
-    # In three steps, so that each text is split once.
-    lines = df.withColumn("_lines", evaluation_lines(F.col(column)))
+    lines = compute_once(df, {"_lines": evaluation_lines(F.col(column))})
     names = [f"_number{i}" for i in range(len(CRITERIA))]
-    numbers = lines.withColumns(
-        {name: number_in_line(F.col("_lines"), i) for i, name in enumerate(names)}
+    numbers = compute_once(
+        lines, {name: number_in_line(F.col("_lines"), i) for i, name in enumerate(names)}
     )
     fields = evaluation_fields(F.col("_lines"), [F.col(name) for name in names])
     return numbers.withColumns(fields).drop("_lines", *names, column)
@@ -60,7 +60,10 @@ def assess(df: DataFrame, scorer: Scorer, context: str) -> DataFrame:
 
 def readability(df: DataFrame, column: str = "conversation") -> DataFrame:
     """Add `readability_proxy`, the Flesch-Kincaid grade: a stand-in for conciseness."""
-    return df.withColumn("readability_proxy", T.reading_grade(F.col(column)))
+    words = compute_once(df, {"_words": T.words(F.lower(F.col(column)))})
+    return words.withColumn(
+        "readability_proxy", T.reading_grade(F.col(column), F.col("_words"))
+    ).drop("_words")
 
 
 def question_answer_overlap(
@@ -74,15 +77,16 @@ def question_answer_overlap(
     Nothing stands in for accuracy or tone.
     """
     def content(column: str):
-        tokens = T.keep_content(T.drop_numeric(T.raw_tokens(F.col(column))), stop_words)
+        tokens = T.keep_content(T.tokens_without_numbers(F.col(column)), stop_words)
         return F.array_distinct(tokens)
 
-    prepared = pairs.withColumns(
+    prepared = compute_once(
+        pairs,
         {
             "_question": content(question_col),
             "_answer": content(answer_col),
             "answer_words": F.size(T.words(F.col(answer_col))),
-        }
+        },
     ).withColumn("_shared", F.size(F.array_intersect("_question", "_answer")))
     n_question, n_answer = F.size("_question"), F.size("_answer")
     return prepared.withColumns(

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.functions.wordlists import NOUN_ENDINGS, STOP_WORDS
+from chatterloom.operators.evaluate import compute_once
 from chatterloom.operators.joins import lookup_join
 
 #: Most frequent changed forms that are compiled into the expression.
-INLINE_FORMS = 4000
+INLINE_FORMS = 10_000
 
 
 def _reduced(form: Column, ending: str, replacement: str) -> Column:
@@ -35,7 +36,9 @@ def learn_lemmas(
     Among the accepted reductions the shortest wins. Forms in `keep` are left alone. Rows of
     `irregular (form, lemma)` override the rules for the forms they name.
     """
-    words = corpus.select(F.explode("tokens").alias("form")).groupBy("form").agg(
+    # Not the bare column: for that, a filter on it would be added and its text read twice.
+    tokens = F.filter("tokens", lambda token: token != "")
+    words = corpus.select(F.explode(tokens).alias("form")).groupBy("form").agg(
         F.count("*").alias("cf")
     )
     keep = sorted(set(keep))
@@ -90,7 +93,7 @@ def replace_tokens(
     inline = {row["form"]: row["lemma"] for row in top[:inline_forms]}
     replaced = F.transform("tokens", _inline_lemma(inline))
     if len(top) <= inline_forms:
-        return df.withColumn("tokens", replaced)
+        return compute_once(df, {"tokens": replaced})
 
     # Rarer forms are joined; the frequent ones, handled in place, never reach the join.
     key = list(key)
@@ -100,12 +103,11 @@ def replace_tokens(
     )
     hits = lookup_join(spots, rest, ["form"], "inner", spread_by=[*key, "pos"])
     changes = hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "lemma")).alias("changes"))
-    return (
-        df.withColumn("tokens", replaced)
-        .join(changes, key, "left")
-        .withColumn("merged", F.sort_array(_merged_positions("tokens", "changes", "lemma")))
-        .withColumn("tokens", _latest_per_position("merged"))
-        .drop("changes", "merged")
+    both = compute_once(df, {"tokens": replaced}).join(changes, key, "left")
+    merged = F.sort_array(_merged_positions("tokens", "changes", "lemma"))
+    both = compute_once(both, {"_merged": merged})
+    return compute_once(both, {"tokens": _latest_per_position("_merged")}).drop(
+        "changes", "_merged"
     )
 
 

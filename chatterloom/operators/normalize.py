@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
 from chatterloom.functions.wordlists import STOP_WORDS
+from chatterloom.operators.evaluate import compute_once
 from chatterloom.operators.lemmas import replace_tokens
 
 
 def tokenize(df: DataFrame, column: str = "conversation") -> DataFrame:
     """Add `tokens`: every lower-cased word after placeholders are removed."""
-    return df.withColumn("tokens", T.raw_tokens(F.col(column)))
+    return compute_once(df, {"tokens": T.raw_tokens(F.col(column))})
 
 
 def normalize_tokens(
@@ -28,13 +29,15 @@ def normalize_tokens(
     table is given), no short words, no stop words. Rows left without tokens, and null texts, are
     dropped unless `keep_empty`, which keeps them with an empty array.
     """
-    tokens = df.withColumn("tokens", T.drop_numeric(T.raw_tokens(F.col(column))))
+    tokens = T.tokens_without_numbers(F.col(column))
     if lemmas is not None:
-        tokens = replace_tokens(tokens, lemmas, key=key)
-    tokens = tokens.withColumn("tokens", T.keep_content(F.col("tokens"), stop_words, min_chars))
+        df = replace_tokens(compute_once(df, {"tokens": tokens}), lemmas, key=key)
+        tokens = F.col("tokens")
+    tokens = T.keep_content(tokens, stop_words, min_chars)
     if keep_empty:
-        return tokens.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    return tokens.where(F.size("tokens") > 0)
+        tokens = F.coalesce(tokens, F.array().cast("array<string>"))
+        return compute_once(df, {"tokens": tokens})
+    return compute_once(df, {"tokens": tokens}, keep=lambda row: F.size(row["tokens"]) > 0)
 
 
 def normalize_light(

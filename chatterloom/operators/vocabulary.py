@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from chatterloom.functions.wordlists import STOP_WORDS
+from chatterloom.operators.evaluate import compute_once
+from chatterloom.operators.joins import lookup_join
+from chatterloom.sources.staging import StagingArea
 
 #: Stands for "any document" among the terms; no token is empty.
 _ANY = ""
 
 
-def term_statistics(corpus: DataFrame) -> DataFrame:
-    """`(term, cf, df)`: occurrences and documents per term, and per `''` the document count.
+def count_in_rows(corpus: DataFrame, others: Iterable[str] = ()) -> DataFrame:
+    """`others` and `counts array<struct<term, n>>`: distinct tokens of each row with their number.
 
-    Each row contributes its tokens, its distinct tokens and one mark, so a single partially summed
-    aggregation gives all three numbers without a distinct count.
+    Sorting a row's tokens and measuring the runs counts them without a shuffle.
     """
-    entries = F.concat(
-        F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+    others = list(others)
+    ordered = compute_once(corpus.select(*others, "tokens"), {"_sorted": F.sort_array("tokens")})
+    starts = F.filter(
         F.transform(
-            F.array_distinct("tokens"),
-            lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")),
+            "_sorted",
+            lambda token, i: F.when((i == 0) | (token != F.get("_sorted", i - 1)), i),
         ),
-        F.array(F.struct(F.lit(_ANY).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))),
+        lambda i: i.isNotNull(),
     )
+    runs = compute_once(ordered.drop("tokens"), {"_starts": starts})
+    counts = F.transform(
+        "_starts",
+        lambda start, j: F.struct(
+            F.get("_sorted", start).alias("term"),
+            (F.coalesce(F.get("_starts", j + 1), F.size("_sorted")) - start).alias("n"),
+        ),
+    )
+    return runs.select(*others, counts.alias("counts"))
+
+
+def term_statistics(corpus: DataFrame) -> DataFrame:
+    """`(term, cf, df)`: occurrences and documents per term, and per `''` the document count.
+
+    Rows are counted in themselves first and add one mark, so one partially summed aggregation
+    gives all numbers without a distinct count.
+    """
+    mark = F.array(F.struct(F.lit(_ANY).alias("term"), F.lit(0).alias("n")))
     return (
-        corpus.where(F.size("tokens") > 0)
-        .select(F.inline(entries))
+        count_in_rows(corpus)
+        .select(F.inline(F.when(F.size("counts") > 0, F.concat(mark, "counts"))))
         .groupBy("term")
-        .agg(F.sum("c").alias("cf"), F.sum("d").alias("df"))
+        .agg(F.sum("n").alias("cf"), F.count("*").alias("df"))
     )
 
 
@@ -46,8 +67,7 @@ def filter_terms(
     Of the rest, the `keep_terms` terms in most documents stay. They are found by document
     frequency first, so that no task has to sort the whole vocabulary.
     """
-    # The mark is read by an aggregate over all terms, not a filter, to share the shuffle.
-    documents = statistics.agg(F.max(F.when(F.col("term") == _ANY, F.col("df"))).alias("n"))
+    documents = statistics.where(F.col("term") == _ANY).agg(F.max("df").alias("n"))
     kept = statistics.where(
         (F.col("df") >= no_below)
         & (F.col("df") <= F.lit(no_above) * documents.scalar())
@@ -67,11 +87,23 @@ def filter_terms(
     )
 
 
+def frequent_terms(
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95,
+    keep_terms: int | None = 100_000, area: StagingArea | None = None,
+) -> DataFrame:
+    """`(term, cf, df)` of the terms of a corpus that pass `filter_terms`."""
+    # The filter reads the statistics several times; staged, the texts are read once.
+    area = area or StagingArea(corpus.sparkSession)
+    statistics = area.stage(term_statistics(corpus), "term_statistics")
+    return filter_terms(statistics, no_below, no_above, keep_terms)
+
+
 def build_vocabulary(
-    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000,
+    area: StagingArea | None = None,
 ) -> DataFrame:
     """`(term, term_id, df, cf)`, ids counting from 0 by falling document frequency, then term."""
-    kept = filter_terms(term_statistics(corpus), no_below, no_above, keep_terms)
+    kept = frequent_terms(corpus, no_below, no_above, keep_terms, area)
     # At most `keep_terms` rows reach this window.
     order = Window.orderBy(F.desc("df"), "term")
     return kept.select(
@@ -79,26 +111,29 @@ def build_vocabulary(
     )
 
 
-def vocabulary_terms(vocabulary: DataFrame) -> list[str]:
-    """The terms in id order; the vocabulary is bounded by its `keep_terms`."""
-    return [row["term"] for row in vocabulary.orderBy("term_id").select("term").collect()]
-
+def fit_vectorizer(
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000
+) -> CountVectorizerModel:
+    """A transformer from `tokens` to the sparse term counts that topic models train on.
 
-def vectorizer(terms: Sequence[str], output: str = "features") -> CountVectorizerModel:
-    """A transformer from `tokens` to sparse term counts."""
-    return CountVectorizerModel.from_vocabulary(list(terms), "tokens", output)
+    The same terms as `build_vocabulary`, numbered by corpus frequency; past `keep_terms` terms the
+    cut is by corpus frequency, too.
+    """
+    return CountVectorizer(
+        inputCol="tokens", outputCol="features", vocabSize=keep_terms,
+        minDF=float(no_below), maxDF=no_above,
+    ).fit(corpus.select("tokens"))
 
 
 def bag_of_words(
     corpus: DataFrame, vocabulary: DataFrame, key: Iterable[str] = ("conv_id",)
 ) -> DataFrame:
-    """Long form `(key, term_id, n)`. Counted inside each row, without a shuffle."""
-    counted = vectorizer(vocabulary_terms(vocabulary), "_bag").transform(corpus)
-    bag = counted.select(*key, F.unwrap_udt("_bag").alias("bag"))
-    cells = bag.select(
-        *key, F.inline(F.arrays_zip(F.col("bag.indices").alias("id"), F.col("bag.values").alias("v")))
+    """Long form `(key, term_id, n)`. Counted in each row; the vocabulary is joined to the counts."""
+    cells = count_in_rows(corpus, key).select(*key, F.inline("counts"))
+    numbered = lookup_join(
+        cells, vocabulary.select("term", "term_id"), ["term"], "inner", spread_by=[*key, "term"]
     )
-    return cells.select(*key, F.col("id").alias("term_id"), F.col("v").cast("long").alias("n"))
+    return numbered.select(*key, "term_id", F.col("n").cast("long").alias("n"))
 
 
 def ngram_tokens(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
@@ -107,28 +142,31 @@ def ngram_tokens(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> D
     Stop words are dropped first, so a pair may span one.
     """
     stop = sorted(set(stop_words))
-    kept = corpus.withColumn(
-        "tokens",
-        F.filter("tokens", lambda token: (F.length(token) > 1) & ~token.isin(stop)),
+    kept = compute_once(
+        corpus,
+        {"tokens": F.filter("tokens", lambda token: (F.length(token) > 1) & ~token.isin(stop))},
     )
     pairs = F.filter(
         F.transform("tokens", lambda token, i: F.concat(token, F.lit(" "), F.get("tokens", i + 1))),
         lambda pair: pair.isNotNull(),
     )
-    return kept.withColumn("tokens", F.concat("tokens", pairs))
+    return compute_once(kept, {"tokens": F.concat("tokens", pairs)})
 
 
-def class_term_weights(corpus: DataFrame, class_col: str) -> DataFrame:
+def class_term_weights(
+    corpus: DataFrame, class_col: str, area: StagingArea | None = None
+) -> DataFrame:
     """Class-based TF-IDF: `(class, term, n, weight)` from rows with a class and `tokens`.
 
     weight = share of the term in its class * ln(1 + A / f), with A the mean number of words per
     class and f the frequency of the term in all classes.
     """
     counts = (
-        corpus.select(class_col, F.explode("tokens").alias("term"))
+        corpus.select(class_col, F.explode(F.filter("tokens", lambda t: t != "")).alias("term"))
         .groupBy(class_col, "term")
         .agg(F.count("*").alias("n"))
     )
+    counts = (area or StagingArea(corpus.sparkSession)).stage(counts, "class_terms")
     sizes = counts.groupBy(class_col).agg(F.sum("n").alias("class_words"))
     mean_words = sizes.agg(F.avg("class_words").alias("mean"))
     # A term has one row per class here, so its group is small however frequent it is.

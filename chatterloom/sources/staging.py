@@ -25,7 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class StagingArea:
-    """Staged tables of one run; `release` deletes them once results have been written."""
+    """Staged tables of one run; `release` deletes them once results have been written.
+
+    An operator that is called without an area stages into one of its own. Its tables stay in the
+    shared folder, as checkpoint files do, since the result still reads them.
+    """
 
     def __init__(self, spark: SparkSession):
         self._spark = spark

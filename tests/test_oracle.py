@@ -5,7 +5,9 @@ import os
 
 import pytest
 
-from chatterloom.catalog import ORACLES, QUERIES
+import __spark_entry__ as spark_entry
+
+ORACLES, QUERIES = spark_entry.oracle_sql(), spark_entry.queries()
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
