@@ -72,16 +72,25 @@ def top_topics(spark, sf_dir):
     return topics.top_topics(corpus, topics.topic_terms(spark, model))
 
 
-@query("lda_sweep")
-def lda_sweep(spark, sf_dir):
+def _sweep(spark: SparkSession, sf_dir: str, settings: Settings, with_bound: bool) -> DataFrame:
     corpus = _phrase_corpus(spark, sf_dir)
     features, terms = _prepared(corpus)
     n_docs = features.count()
-    _models, scores = topics.sweep_topics(features, corpus, terms, n_docs, TRIAL)
+    _models, scores = topics.sweep_topics(features, corpus, terms, n_docs, settings, with_bound)
     features.unpersist()
     return scores
 
 
+@query("lda_sweep")
+def lda_sweep(spark, sf_dir):
+    return _sweep(spark, sf_dir, TRIAL, with_bound=False)
+
+
+@query("lda_sweep_with_bound")
+def lda_sweep_with_bound(spark, sf_dir):
+    return _sweep(spark, sf_dir, TRIAL.with_(end_topics=4), with_bound=True)
+
+
 def _ngram_model(spark: SparkSession, sf_dir: str):
     """Whole-corpus updates over words and word pairs."""
     plain = normalize.normalize_light(documents(spark, sf_dir)).select("conv_id", "tokens")

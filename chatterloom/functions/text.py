@@ -36,15 +36,27 @@ def tokens_without_numbers(text: Column) -> Column:
     return F.regexp_extract_all(prepared, F.lit(f"({WORD_NOT_NUMBER})"), F.lit(1))
 
 
-def keep_content(tokens: Column, stop_words: Iterable[str] = (), min_chars: int = 2) -> Column:
-    """Drop tokens that are too short or on the stop list."""
-    stop = sorted(set(stop_words))
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_texts(values: Iterable[str]) -> str:
+    """A list of strings for SQL `IN`; a hashed set once planned.
 
-    def wanted(token: Column) -> Column:
-        long_enough = F.length(token) >= min_chars
-        return long_enough & ~token.isin(stop) if stop else long_enough
+    As one SQL text it reaches the JVM in a single call, where a list of literal columns takes a
+    call for each.
+    """
+    return "(" + ", ".join(sql_text(value) for value in sorted(set(values))) + ")"
 
-    return F.filter(tokens, wanted)
+
+def keep_content(tokens: Column, stop_words: Iterable[str] = (), min_chars: int = 2) -> Column:
+    """Drop tokens that are too short or on the stop list."""
+    wanted = f"length(token) >= {int(min_chars)}"
+    stop = set(stop_words)
+    if stop:
+        wanted += f" AND token NOT IN {sql_texts(stop)}"
+    return F.call_function("filter", tokens, F.expr(f"token -> {wanted}"))
 
 
 def capitalize_words(text: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatterloom.functions.text import sql_text, sql_texts
 from chatterloom.functions.wordlists import NOUN_ENDINGS, STOP_WORDS
 from chatterloom.operators.evaluate import compute_once
 from chatterloom.operators.joins import lookup_join
@@ -41,14 +42,15 @@ def learn_lemmas(
     words = corpus.select(F.explode(tokens).alias("form")).groupBy("form").agg(
         F.count("*").alias("cf")
     )
-    keep = sorted(set(keep))
+    keep = set(keep)
+    free = F.expr(f"form NOT IN {sql_texts(keep)}") if keep else F.lit(True)
     entry = "array<struct<lemma:string,form:string,cf:bigint>>"
     reductions = [
         F.when(F.endswith("form", F.lit(ending)), _reduced(F.col("form"), ending, new))
         for ending, new in NOUN_ENDINGS
     ]
     options = F.when(
-        ~F.col("form").isin(keep),
+        free,
         F.transform(
             F.filter(F.array(*reductions), lambda option: F.length(option) >= min_chars),
             lambda option: F.struct(option, F.col("form"), F.col("cf")),
@@ -91,16 +93,15 @@ def replace_tokens(
     """Replace every token that is a `form` of `lemmas (form, lemma, cf)` by its lemma."""
     top = lemmas.orderBy(F.desc("cf"), "form").limit(inline_forms + 1).collect()
     inline = {row["form"]: row["lemma"] for row in top[:inline_forms]}
-    replaced = F.transform("tokens", _inline_lemma(inline))
+    replaced = F.expr(f"transform(tokens, token -> {_inline_lemma(inline)})")
     if len(top) <= inline_forms:
         return compute_once(df, {"tokens": replaced})
 
     # Rarer forms are joined; the frequent ones, handled in place, never reach the join.
     key = list(key)
-    rest = lemmas.where(~F.col("form").isin(sorted(inline))).select("form", "lemma")
-    spots = df.select(*key, F.posexplode("tokens").alias("pos", "form")).where(
-        ~F.col("form").isin(sorted(inline))
-    )
+    frequent = F.expr(f"form IN {sql_texts(inline)}") if inline else F.lit(False)
+    rest = lemmas.where(~frequent).select("form", "lemma")
+    spots = df.select(*key, F.posexplode("tokens").alias("pos", "form")).where(~frequent)
     hits = lookup_join(spots, rest, ["form"], "inner", spread_by=[*key, "pos"])
     changes = hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "lemma")).alias("changes"))
     both = compute_once(df, {"tokens": replaced}).join(changes, key, "left")
@@ -111,8 +112,8 @@ def replace_tokens(
     )
 
 
-def _inline_lemma(inline: dict[str, str]):
-    """Set lookups by kind of change, so that each token costs a few hash probes."""
+def _inline_lemma(inline: dict[str, str]) -> str:
+    """SQL for the lemma of `token`: set lookups by kind of change, a few hash probes per token."""
     by_rule: dict[tuple[str, str], list[str]] = {}
     others: dict[str, str] = {}
     for form, lemma in inline.items():
@@ -123,20 +124,15 @@ def _inline_lemma(inline: dict[str, str]):
         else:
             others[form] = lemma
 
-    def lemma_of(token: Column) -> Column:
-        result = token
-        if others:
-            pairs = [F.lit(text) for item in sorted(others.items()) for text in item]
-            result = F.when(
-                token.isin(sorted(others)), F.element_at(F.create_map(*pairs), token)
-            ).otherwise(result)
-        for (ending, new), forms in sorted(by_rule.items()):
-            result = F.when(token.isin(sorted(forms)), _reduced(token, ending, new)).otherwise(
-                result
-            )
-        return result
-
-    return lemma_of
+    cases = [
+        f"WHEN token IN {sql_texts(forms)} THEN "
+        f"concat(substring(token, 1, length(token) - {len(ending)}), '{new}')"
+        for (ending, new), forms in sorted(by_rule.items())
+    ]
+    if others:
+        pairs = ", ".join(sql_text(text) for item in sorted(others.items()) for text in item)
+        cases.append(f"WHEN token IN {sql_texts(others)} THEN element_at(map({pairs}), token)")
+    return f"CASE {' '.join(cases)} ELSE token END" if cases else "token"
 
 
 def _merged_positions(tokens: str, changes: str, field: str) -> Column:

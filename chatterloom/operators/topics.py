@@ -76,12 +76,13 @@ def fit_topics(
 
 def sweep_topics(
     features: DataFrame, corpus: DataFrame, terms: Sequence[str], n_docs: int, settings: Settings,
-    with_bound: bool = True,
+    with_bound: bool = False,
 ) -> tuple[dict[int, TopicModel], DataFrame]:
     """Fit one model per topic count and score all of them in one pass over the corpus.
 
     Returns the models by topic count and the table
-    `(num_topics, c_v, u_mass, log_perplexity_bound, warning)`.
+    `(num_topics, c_v, u_mass, log_perplexity_bound, warning)`. The bound is null unless asked for:
+    it infers every document again for each model.
     """
     counts = settings.topic_counts()
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark import SparkContext
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chatterloom.functions.text import keep_content
 from chatterloom.functions.wordlists import STOP_WORDS
 from chatterloom.operators.evaluate import compute_once
 from chatterloom.operators.joins import lookup_join
@@ -112,17 +114,35 @@ def build_vocabulary(
 
 
 def fit_vectorizer(
-    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000,
+    area: StagingArea | None = None,
 ) -> CountVectorizerModel:
     """A transformer from `tokens` to the sparse term counts that topic models train on.
 
-    The same terms as `build_vocabulary`, numbered by corpus frequency; past `keep_terms` terms the
-    cut is by corpus frequency, too.
+    Its indices are the ids of `build_vocabulary`, so equal corpora give equal vectors.
+    """
+    vocabulary = build_vocabulary(corpus, no_below, no_above, keep_terms, area)
+    # At most `keep_terms` terms.
+    terms = [row["term"] for row in vocabulary.orderBy("term_id").select("term").collect()]
+    if not terms:
+        raise ValueError("no term passes the vocabulary filter; lower no_below")
+    return vectorizer(terms)
+
+
+def vectorizer(terms: Sequence[str]) -> CountVectorizerModel:
+    """`CountVectorizerModel.from_vocabulary`, but handing over the terms in one call.
+
+    The public constructor sends them one by one, which takes long for a full vocabulary.
     """
-    return CountVectorizer(
-        inputCol="tokens", outputCol="features", vocabSize=keep_terms,
-        minDF=float(no_below), maxDF=no_above,
-    ).fit(corpus.select("tokens"))
+    jvm = SparkContext.getOrCreate()._jvm
+    divider = "\n"
+    if any(divider in term for term in terms):
+        raise ValueError("terms are single lines")
+    java_terms = jvm.java.util.regex.Pattern.compile(divider).split(divider.join(terms))
+    model = CountVectorizerModel(
+        jvm.org.apache.spark.ml.feature.CountVectorizerModel(java_terms)
+    )
+    return model.setInputCol("tokens").setOutputCol("features")
 
 
 def bag_of_words(
@@ -141,11 +161,7 @@ def ngram_tokens(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> D
 
     Stop words are dropped first, so a pair may span one.
     """
-    stop = sorted(set(stop_words))
-    kept = compute_once(
-        corpus,
-        {"tokens": F.filter("tokens", lambda token: (F.length(token) > 1) & ~token.isin(stop))},
-    )
+    kept = compute_once(corpus, {"tokens": keep_content(F.col("tokens"), stop_words)})
     pairs = F.filter(
         F.transform("tokens", lambda token, i: F.concat(token, F.lit(" "), F.get("tokens", i + 1))),
         lambda pair: pair.isNotNull(),
