@@ -273,7 +273,8 @@ def review_prompts(spark, sf_dir):
 def echo_namer(instruction: str, request: str) -> str:
     """Stands in for a model: names a topic by its first keywords, and keeps names on review."""
     if request.startswith("Keywords: "):
-        return " ".join(request.removeprefix("Keywords: ").split(", ")[:2])
+        keywords = request.removeprefix("Keywords: ").removesuffix(". Name this topic.")
+        return " ".join(keywords.split(", ")[:2])
     topic_key = request.removeprefix("Give the final name of ").split(".")[0]
     line = next(text for text in instruction.split("\n") if text.startswith(f"{topic_key} is named "))
     return line.removeprefix(f"{topic_key} is named ").split(", keywords: ")[0]

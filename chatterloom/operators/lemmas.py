@@ -18,8 +18,10 @@ from chatterloom.functions.wordlists import NOUN_ENDINGS, STOP_WORDS
 from chatterloom.operators.evaluate import compute_once
 from chatterloom.operators.joins import lookup_join
 
-#: Most frequent changed forms that are compiled into the expression.
-INLINE_FORMS = 10_000
+#: Most frequent changed forms that are compiled into the expression, and the number of further ones
+#: up to which they are broadcast instead of shuffled.
+INLINE_FORMS = 50_000
+BROADCAST_FORMS = 1_000_000
 
 
 def _reduced(form: Column, ending: str, replacement: str) -> Column:
@@ -102,7 +104,9 @@ def replace_tokens(
     frequent = F.expr(f"form IN {sql_texts(inline)}") if inline else F.lit(False)
     rest = lemmas.where(~frequent).select("form", "lemma")
     spots = df.select(*key, F.posexplode("tokens").alias("pos", "form")).where(~frequent)
-    hits = lookup_join(spots, rest, ["form"], "inner", spread_by=[*key, "pos"])
+    hits = lookup_join(
+        spots, rest, ["form"], "inner", rows=BROADCAST_FORMS, spread_by=[*key, "pos"]
+    )
     changes = hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "lemma")).alias("changes"))
     both = compute_once(df, {"tokens": replaced}).join(changes, key, "left")
     merged = F.sort_array(_merged_positions("tokens", "changes", "lemma"))

@@ -189,7 +189,7 @@ def class_term_weights(
     with_totals = counts.select(
         "*", F.sum("n").over(Window.partitionBy("term")).alias("term_total")
     )
-    return with_totals.join(sizes, class_col).select(
+    return lookup_join(with_totals, sizes, [class_col], "inner").select(
         class_col, "term", "n",
         (
             F.col("n") / F.col("class_words")
