@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterloom.catalog.registry import (
-    DEALT_SQL, STOP_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, documents, light_sql, normalized, query,
+    STOP_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, documents, light_sql, normalized, query,
     rounded, table,
 )
 from chatterloom.operators import coherence, normalize, phrases, topics, vocabulary

@@ -36,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def plain_documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """All documents as conversations."""
     docs = table(spark, sf_dir, "documents")
-    return spread(
-        docs.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("conversation"), *more),
-        "conv_id",
-    )
+    return docs.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("conversation"), *more)
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """All documents, prepared for work that is heavy per byte."""
+    return spread(plain_documents(spark, sf_dir, *more), "conv_id")
 
 
 def normalized(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

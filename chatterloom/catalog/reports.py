@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.catalog.registry import (
-    DEALT_SQL, LABELS_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, dealt_topic, documents, label_table,
+    DEALT_SQL, LABELS_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, dealt_topic, label_table, plain_documents,
     query, quoted, rounded,
 )
 from chatterloom.functions import prompts
 from chatterloom.operators import assessment, insights, labels, topics
+from chatterloom.sources.tables import spread
 
 CONTEXT = "chatbot conversations"
 
@@ -107,13 +108,13 @@ _FIELDS = (
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a topic by key and its label; topic 7 has none."""
-    docs = documents(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
+    docs = plain_documents(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
     return labels.attach_labels(docs, label_table(spark))
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.parse_evaluations(
-        assigned(spark, sf_dir).withColumn("evaluation", evaluation_text())
+        spread(assigned(spark, sf_dir), "conv_id").withColumn("evaluation", evaluation_text())
     )
 
 
@@ -152,7 +153,8 @@ def text_scorer(batches):
       n || ' characters' AS assessment FROM scored""",
 )
 def assess(spark, sf_dir):
-    done = assessment.assess(assigned(spark, sf_dir), text_scorer, CONTEXT)
+    texts = spread(assigned(spark, sf_dir), "conv_id")
+    done = assessment.assess(texts, text_scorer, CONTEXT)
     return done.drop("conversation", "out_of_range")
 
 
@@ -208,7 +210,7 @@ def dealt_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents LEFT JOIN topics ON topic = doc_id % 7 + 1""",
 )
 def topic_desc(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("conv_id", dealt_topic().alias("dominant_topic"))
+    docs = plain_documents(spark, sf_dir).select("conv_id", dealt_topic().alias("dominant_topic"))
     return labels.attach_terms(docs, dealt_topics(spark, sf_dir))
 
 
@@ -405,5 +407,5 @@ def summary_prompts(spark, sf_dir):
     FROM documents GROUP BY 1, 2""",
 )
 def docs_per_topic(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
+    docs = plain_documents(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
     return insights.texts_per_topic(docs, "dominant_topic", "conversation")

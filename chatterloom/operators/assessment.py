@@ -32,12 +32,12 @@ def evaluation_prompts(df: DataFrame, context: str) -> DataFrame:
     )
 
 
-def score_with(df: DataFrame, scorer: Scorer, output: str = "evaluation") -> DataFrame:
-    """Run the scorer over the partitions of `df` and add its text.
+def score_with(df: DataFrame, scorer: Scorer) -> DataFrame:
+    """Run the scorer over the partitions of `df` and add its text as `evaluation`.
 
     Store the result before using it twice, or the scorer is called again for every use.
     """
-    schema = StructType([*df.schema.fields, StructField(output, StringType())])
+    schema = StructType([*df.schema.fields, StructField("evaluation", StringType())])
     return df.mapInPandas(scorer, schema)
 
 

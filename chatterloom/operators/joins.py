@@ -21,10 +21,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def lookup_join(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
     rows: int = BROADCAST_ROWS, spread_by: Sequence[str] | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join `df` to a lookup table with one row per key.
 
-    A table of at most `rows` rows is broadcast, so `df` is not shuffled. A larger one is copied
+    A table of at most `rows` rows is broadcast, so `df` is not shuffled. Whether it is, is counted,
+    unless `known_rows` says how many rows it was limited to. A larger one is copied
     once per salt and `df` is spread over the salts by a hash of `spread_by` (all its columns
     when not given): no task receives all rows of a hot key. `how` is inner, left, left_semi or
     left_anti; all are exact with copied lookup rows because each left row meets one copy.
@@ -32,7 +34,8 @@ def lookup_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
     on = list(on)
-    if is_small(table, rows):
+    small = is_small(table, rows) if known_rows is None else known_rows <= rows
+    if small:
         return df.join(F.broadcast(table), on, how)
     salted = df.withColumn(
         "_salt", F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SALTS)).cast("int")

@@ -69,10 +69,11 @@ def filter_terms(
     Of the rest, the `keep_terms` terms in most documents stay. They are found by document
     frequency first, so that no task has to sort the whole vocabulary.
     """
-    documents = statistics.where(F.col("term") == _ANY).agg(F.max("df").alias("n"))
+    mark = statistics.where(F.col("term") == _ANY).select("df").first()
+    documents = mark["df"] if mark is not None else 0
     kept = statistics.where(
         (F.col("df") >= no_below)
-        & (F.col("df") <= F.lit(no_above) * documents.scalar())
+        & (F.col("df") <= int(no_above * documents))
         & (F.col("term") != _ANY)
     )
     if keep_terms is None:

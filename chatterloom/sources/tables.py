@@ -43,11 +43,19 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
 
 
+#: Bytes that one scan split holds by default.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input enough partitions for all cores.
 
-    Text work is heavy per byte, so a file that fits into a few scan splits would leave most cores
-    idle. Input with more splits than cores, which is every large table, is returned untouched.
+    Text work is heavy per byte, so a table that fits into fewer splits than there are cores would
+    leave most of them idle. The size is the optimizer's estimate, which needs no job; a table that
+    fills the cores, or is of unknown size, is returned untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    statistics = df._jdf.queryExecution().optimizedPlan().stats()
+    if int(str(statistics.sizeInBytes())) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, *keys)

@@ -193,7 +193,7 @@ def test_whole_analysis(spark):
     rows += [(500, ""), (501, None), (502, "the of 12")]
     df = spark.createDataFrame(rows, "conv_id long, conversation string")
     settings = Settings(start_topics=2, end_topics=3, passes=6, sample_size=40, insight_topics=1)
-    analysis = ConversationAnalysis(settings, scorer=text_scorer)
+    analysis = ConversationAnalysis(settings, scorer=text_scorer, summarizer=text_scorer)
     for name in ("topics_df", "corpus_topic_df", "coherence_df", "assessed_df", "final_insights"):
         with pytest.raises(ValueError):
             getattr(analysis, name)
@@ -209,6 +209,7 @@ def test_whole_analysis(spark):
     assert abs(sum(r["percentage"] for r in analysis.topic_distribution.collect()) - 100) < 1e-9
     assert analysis.assessed_df.count() == 40
     assert analysis.final_insights.count() == 1 and analysis.criteria_chart.count() == 1
+    assert "Assessment" in analysis.final_insights.first()["summary"]
     assert analysis.execution_time > 0
     analysis.release()
     with pytest.raises(ValueError):
