@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.catalog.registry import (
-    DEALT_SQL, LABELS_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, dealt_topic, label_table, plain_documents,
-    query, quoted, rounded,
+    DEALT_SQL, LABELS_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, dealt_topic, documents, label_table,
+    plain_documents, query, quoted, rounded,
 )
 from chatterloom.functions import prompts
 from chatterloom.operators import assessment, insights, labels, topics
-from chatterloom.sources.tables import spread
 
 CONTEXT = "chatbot conversations"
 
@@ -106,15 +105,15 @@ _FIELDS = (
 )
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assigned(spark: SparkSession, sf_dir: str, texts=plain_documents) -> DataFrame:
     """Documents with a topic by key and its label; topic 7 has none."""
-    docs = plain_documents(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
+    docs = texts(spark, sf_dir).withColumn("dominant_topic", dealt_topic())
     return labels.attach_labels(docs, label_table(spark))
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.parse_evaluations(
-        spread(assigned(spark, sf_dir), "conv_id").withColumn("evaluation", evaluation_text())
+        assigned(spark, sf_dir, documents).withColumn("evaluation", evaluation_text())
     )
 
 
@@ -153,8 +152,7 @@ def text_scorer(batches):
       n || ' characters' AS assessment FROM scored""",
 )
 def assess(spark, sf_dir):
-    texts = spread(assigned(spark, sf_dir), "conv_id")
-    done = assessment.assess(texts, text_scorer, CONTEXT)
+    done = assessment.assess(assigned(spark, sf_dir, documents), text_scorer, CONTEXT)
     return done.drop("conversation", "out_of_range")
 
 

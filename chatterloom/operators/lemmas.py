@@ -92,7 +92,10 @@ def replace_tokens(
     df: DataFrame, lemmas: DataFrame, key: Iterable[str] = ("conv_id",),
     inline_forms: int = INLINE_FORMS,
 ) -> DataFrame:
-    """Replace every token that is a `form` of `lemmas (form, lemma, cf)` by its lemma."""
+    """Replace every token that is a `form` of `lemmas (form, lemma, cf)` by its lemma.
+
+    `key` must identify a row; it is used only when there are more forms than `inline_forms`.
+    """
     top = lemmas.orderBy(F.desc("cf"), "form").limit(inline_forms + 1).collect()
     inline = {row["form"]: row["lemma"] for row in top[:inline_forms]}
     replaced = F.expr(f"transform(tokens, token -> {_inline_lemma(inline)})")

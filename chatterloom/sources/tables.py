@@ -52,7 +52,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Text work is heavy per byte, so a table that fits into fewer splits than there are cores would
     leave most of them idle. The size is the optimizer's estimate, which needs no job; a table that
-    fills the cores, or is of unknown size, is returned untouched.
+    fills the cores, or is of unknown size, is returned untouched. Best used on a scan: estimates
+    after joins are far too high.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     statistics = df._jdf.queryExecution().optimizedPlan().stats()
