@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.common import read_table, rows_of, small_batches
+from chatterloom.llm.common import read_table, rows_of, prepare
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK_CHARS = 32_768
@@ -277,7 +277,7 @@ def encode(
     Texts of one chunk are encoded where they are read. Only longer ones are exploded into chunks,
     whose boundaries are found by different tasks and come together per text.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     narrow = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
     schema = f"key {kind}, ids array<int>"

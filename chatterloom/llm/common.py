@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from chatterloom.sources.shipping import ship_package
 from chatterloom.sources.staging import StagingArea
 
 #: Distinct words whose hashes a worker remembers; the memory is emptied when full.
@@ -65,8 +66,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, 256)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS if they are more."""
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers; lower the session's rows per Arrow batch to BATCH_ROWS."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, BATCH_ROWS)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.common import read_table, rows_of, small_batches
+from chatterloom.llm.common import read_table, rows_of, prepare
 
 #: Kinds of spans in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -170,7 +170,7 @@ def find_secrets(
     df: DataFrame, key: str = "doc_id", text: str = "text", min_guesses: float = MIN_GUESSES
 ) -> DataFrame:
     """Per row: counts per base kind, digest of the base spans, all spans, highest guess cost."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
-    as_bytes, read_table, rows_of, small_batches, window_hashes, word_hashes, words,
+    as_bytes, read_table, rows_of, prepare, window_hashes, word_hashes, words,
 )
 
 #: Rules by bit. The first two form the base verdict.
@@ -98,7 +98,7 @@ def failures(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_word
 
 def ledger(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(key, MEASURES..., fail_bits)`: one row per row of `df`, every rule evaluated once."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
@@ -160,7 +160,7 @@ def ablations(entries: DataFrame) -> DataFrame:
 
 def keep_good(df: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of `df` that a policy keeps, with all their columns, judged in one pass."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     place, rejects = df.columns.index(text), mask(POLICIES[policy]) | mask(POLICIES["base"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

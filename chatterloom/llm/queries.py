@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, quality
+from chatterloom.llm import bpe, credentials, minhash, quality
 
 QUERIES = {
     "op3_secrets": credentials.op3_secrets,
+    "op4_minhash": minhash.op4_minhash,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
 }
