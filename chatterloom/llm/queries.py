@@ -1,15 +1,19 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, minhash, quality
+from chatterloom.llm import bpe, credentials, minhash, mixing, quality, topk
 
 QUERIES = {
     "op3_secrets": credentials.op3_secrets,
     "op4_minhash": minhash.op4_minhash,
+    "op5_topk": topk.op5_topk,
+    "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
 }
 
 #: Operators that SQL cannot express have none: they are tested against brute force.
 ORACLES = {
+    "op5_topk": topk.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
 }
