@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, minhash, mixing, quality, topk
+from chatterloom.llm import bpe, credentials, lines, minhash, mixing, quality, topk
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op3_secrets": credentials.op3_secrets,
     "op4_minhash": minhash.op4_minhash,
     "op5_topk": topk.op5_topk,
