@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, lines, minhash, mixing, quality, topk
+from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, topk
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
+    "op10_langid": langid.op10_langid,
 }
 
 #: Operators that SQL cannot express have none: they are tested against brute force.
