@@ -1,15 +1,17 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, topk
+from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, quotes, templates, topk
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
+    "op2_html": templates.op2_html,
     "op3_secrets": credentials.op3_secrets,
     "op4_minhash": minhash.op4_minhash,
     "op5_topk": topk.op5_topk,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
+    "op9_quotes": quotes.op9_quotes,
     "op10_langid": langid.op10_langid,
 }
 
