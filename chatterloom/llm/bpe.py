@@ -355,8 +355,10 @@ def _row(column: pa.ListArray, i: int) -> np.ndarray:
     return column.values.slice(first, last - first).to_numpy(zero_copy_only=False)
 
 
-def digests(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Per row: number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes."""
+def digests(
+    encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", keep_ids: bool = False
+) -> DataFrame:
+    """Per row: number of ids, SHA-256 of the ids in decimal and of the decoded bytes, the ids if wanted."""
     narrow = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = narrow.schema["key"].dataType.simpleString()
 
@@ -370,16 +372,15 @@ def digests(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids"
                 sizes.append(len(row))
                 ids_digest.append(hashlib.sha256(vocab.in_decimal(row)).hexdigest())
                 bytes_digest.append(hashlib.sha256(vocab.decode(row)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_digest, pa.string()),
-                    pa.array(bytes_digest, pa.string()),
-                ],
-                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [pa.array(sizes, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(bytes_digest, pa.string())]
+            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns.append(column)
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return narrow.mapInArrow(
-        run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     ).withColumnRenamed("key", key)
 
 
