@@ -1,10 +1,10 @@
 """Quotation linking: find what messages quote, and order conversations by reply, without the quotes.
 
 Messages are cut into passages: runs of lines of one quote level (the number of leading ">" marks), ended
-by lines without text. Quoted passages are compared with the unquoted passages of earlier messages, each
-message's whole unquoted text among them, by a digest of their letters and digits. A message replies to
+by lines without text; single lines and the whole unquoted text count as passages too. Quoted passages are
+compared with the unquoted passages of earlier messages by a digest of their letters and digits. A message replies to
 the message that the passage of least depth quotes, within its conversation if it can be found there and
-in any other else; without such a quote it goes on from the turn before it.
+in any other else; without such a quote it goes on from the message before it.
 
 Messages come out as rows with a position rather than one row per conversation, so a conversation of any
 length is spread over tasks. A thread is a message that quotes nothing known, with all that reply to it
@@ -34,7 +34,6 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
 #: Lines that introduce a quote, such as "On Monday, Ann wrote:".
 _LEAD_IN = r"(?i)^\s*(?:on\b.{0,200}\bwrote|le\b.{0,200}\bécrit|am\b.{0,200}\bschrieb.{0,100}|el\b.{0,200}\bescribió)\s*:\s*$"
-_SHARDS = 32
 
 
 def _levels(lines: Column) -> Column:
@@ -42,7 +41,8 @@ def _levels(lines: Column) -> Column:
     def parsed(line: Column) -> Column:
         marks = F.regexp_extract(line, _MARKS, 0)
         level = F.length(F.regexp_replace(marks, "[^>]", ""))
-        return F.struct(level.alias("level"), F.trim(F.substr(line, F.length(marks) + 1)).alias("body"))
+        body = F.substr(line, F.length(marks) + 1)
+        return F.struct(level.alias("level"), body.alias("body"), (F.trim(body) == "").alias("blank"))
 
     return F.transform(lines, parsed)
 
@@ -52,17 +52,16 @@ def normalised(passage: Column) -> Column:
     return F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", "")
 
 
-def _passages(parsed: str) -> Column:
-    """`array<(level, body)>` of the runs of lines of one level in an array column of lines."""
-    lines, count = F.col(parsed), F.size(parsed)
+def _run_starts(parsed: str) -> Column:
+    """Where the runs of lines of one level start, in an array column of lines."""
+    lines = F.col(parsed)
 
-    def starts_run(line: Column, i: Column) -> Column:
+    def starts(line: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)
-        return (line["body"] != "") & ((i == 0) | (before["body"] == "") | (before["level"] != line["level"]))
+        return ~line["blank"] & ((i == 0) | before["blank"] | (before["level"] != line["level"]))
 
-    starts = F.transform(F.filter(F.transform(lines, lambda line, i: F.struct(starts_run(line, i).alias("is"), i.alias("i"))), lambda s: s["is"]), lambda s: s["i"])
-    del count
-    return starts
+    marked = F.transform(lines, lambda line, i: F.struct(starts(line, i).alias("starts"), i.alias("at")))
+    return F.transform(F.filter(marked, lambda mark: mark["starts"]), lambda mark: mark["at"])
 
 
 def parse(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -72,7 +71,7 @@ def parse(messages: DataFrame, text: str = "text") -> DataFrame:
         return df.withColumn(name, F.explode(F.array(value)))
 
     df = step(messages, "_lines", _levels(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")))
-    df = step(df, "_starts", _passages("_lines"))
+    df = step(df, "_starts", _run_starts("_lines"))
     runs = F.transform(
         F.col("_starts"),
         lambda at: F.struct(
@@ -92,13 +91,20 @@ def parse(messages: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     df = step(df, "_bodies", bodies)
-    own = F.array_join(F.transform(
-        F.filter(F.col("_lines"), lambda line: (line["level"] == 0) & ~line["body"].rlike(_LEAD_IN)), lambda line: line["body"]
-    ), "\n")
-    df = step(df, "own", F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n")))
-    df = df.withColumn("own", F.regexp_replace("own", r"^\s+|\s+$", ""))
+
+    def introduces(line: Column, i: Column) -> Column:
+        after, second = F.get(F.col("_lines"), i + 1), F.get(F.col("_lines"), i + 2)
+        quote = (after["level"] > 0) | (after["blank"] & (second["level"] > 0))
+        return line["body"].rlike(_LEAD_IN) & F.coalesce(quote, F.lit(False))
+
+    own = F.filter(F.col("_lines"), lambda line, i: (line["level"] == 0) & ~introduces(line, i))
+    own = F.array_join(F.transform(own, lambda line: line["body"]), "\n")
+    df = step(df, "own", F.regexp_replace(F.regexp_replace(own, r"\n\s*\n", "\n\n"), r"^\s*\n|\s+$", ""))
     keyed = F.transform(
-        F.concat(F.col("_bodies"), F.array(F.struct(F.lit(0).alias("level"), F.col("own").alias("body")))),
+        F.concat(
+            F.col("_bodies"), F.transform("_lines", lambda line: F.struct(line["level"].alias("level"), line["body"].alias("body"))),
+            F.array(F.struct(F.lit(0).alias("level"), F.col("own").alias("body"))),
+        ),
         lambda passage: F.struct(passage["level"].alias("level"), normalised(passage["body"]).alias("plain")),
     )
     df = step(df, "_keyed", keyed)
@@ -159,9 +165,9 @@ def conversations(
     parsed = area.stage(parse(messages).drop("text"), "parsed")
     linked = area.stage(links(parsed), "links")
     parent = linked.groupBy("conv_id", "turn").agg(
-        F.min(F.struct("level", F.col("to_conv") != F.col("conv_id"), F.struct(F.col("to_turn"), "to_conv"))).alias("least"),
+        F.min(F.struct("level", (F.col("to_conv") != F.col("conv_id")).alias("away"), "to_turn", "to_conv")).alias("least"),
         F.max("level").alias("quote_depth"), F.count(F.lit(1)).alias("n_links"),
-    ).select("conv_id", "turn", F.col("least.col3.to_turn").alias("to_turn"), F.col("least.col3.to_conv").alias("to_conv"), "quote_depth", "n_links")
+    ).select("conv_id", "turn", F.col("least.to_turn").alias("to_turn"), F.col("least.to_conv").alias("to_conv"), "quote_depth", "n_links")
     threads = _threads(parent.where("to_conv = conv_id"), area).withColumnRenamed("thread", "root")
 
     placed = (
@@ -173,7 +179,7 @@ def conversations(
     ranged = area.stage(
         placed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges"
     )
-    sizes = ranged.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"), F.max_by("turn", F.struct("thread", "turn")).alias("last"))
+    sizes = ranged.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("conv_id", "range").orderBy("thread", "turn", "role", "own")
