@@ -308,9 +308,9 @@ def argmax_vector(spark, sf_dir):
     counts AS (SELECT label, dominant_topic, count(*) AS n FROM argmax GROUP BY ALL),
     sizes AS (
       SELECT dominant_topic, sum(n) AS topic_n, max(n) AS main_n FROM counts GROUP BY dominant_topic)
-    SELECT label, dominant_topic, n, round(n / topic_n::DOUBLE, 6) AS topic_share,
+    SELECT label, counts.dominant_topic, n, round(n / topic_n::DOUBLE, 6) AS topic_share,
            round((SELECT sum(main_n)::DOUBLE / sum(topic_n)::DOUBLE FROM sizes), 6) AS purity
-    FROM counts JOIN sizes USING (dominant_topic)""",
+    FROM counts JOIN sizes ON counts.dominant_topic IS NOT DISTINCT FROM sizes.dominant_topic""",
 )
 def category_topic_purity(spark, sf_dir):
     found = topics.category_purity(_strongest(spark, sf_dir), "label", "dominant_topic")

@@ -16,12 +16,16 @@ from chatterloom.operators import clusters, coherence, normalize, phrases, topic
 from chatterloom.plans.analysis import ConversationAnalysis
 from chatterloom.sources.staging import StagingArea
 
-#: Short training, so that a query takes seconds; the data is always the whole corpus.
-TRIAL = Settings(start_topics=3, end_topics=5, max_updates=10)
+#: A short range of topic counts with the whole training schedule.
+SHORT_SWEEP = Settings(start_topics=3, end_topics=5)
+#: Updates of the second model, each over the whole corpus.
+NGRAM_UPDATES = 100
 
 
-def _prepared(corpus: DataFrame, no_above: float = 0.95) -> tuple[DataFrame, list[str]]:
-    vectorize = vocabulary.fit_vectorizer(corpus, no_above=no_above)
+def _prepared(
+    corpus: DataFrame, no_above: float = 0.95, keep_terms: int | None = 100_000
+) -> tuple[DataFrame, list[str]]:
+    vectorize = vocabulary.fit_vectorizer(corpus, no_above=no_above, keep_terms=keep_terms)
     features = vectorize.transform(corpus).select("conv_id", "features")
     return features.persist(StorageLevel.MEMORY_AND_DISK), vectorize.vocabulary
 
@@ -38,7 +42,7 @@ def _phrase_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fitted(spark: SparkSession, sf_dir: str, k: int = 4):
     corpus = _phrase_corpus(spark, sf_dir)
     features, terms = _prepared(corpus)
-    model = topics.fit_topics(features, terms, k, features.count(), TRIAL)
+    model = topics.fit_topics(features, terms, k, features.count(), SHORT_SWEEP)
     return corpus, features, model
 
 
@@ -83,22 +87,22 @@ def _sweep(spark: SparkSession, sf_dir: str, settings: Settings, with_bound: boo
 
 @query("lda_sweep")
 def lda_sweep(spark, sf_dir):
-    return _sweep(spark, sf_dir, TRIAL, with_bound=False)
+    return _sweep(spark, sf_dir, SHORT_SWEEP, with_bound=False)
 
 
 @query("lda_sweep_with_bound")
 def lda_sweep_with_bound(spark, sf_dir):
-    return _sweep(spark, sf_dir, TRIAL.with_(end_topics=4), with_bound=True)
+    return _sweep(spark, sf_dir, SHORT_SWEEP.with_(end_topics=4), with_bound=True)
 
 
 def _ngram_model(spark: SparkSession, sf_dir: str):
     """Whole-corpus updates over words and word pairs."""
     plain = normalize.normalize_light(documents(spark, sf_dir)).select("conv_id", "tokens")
     grams = StagingArea(spark).stage(vocabulary.ngram_tokens(plain), "grams")
-    features, terms = _prepared(grams, no_above=0.9)
+    features, terms = _prepared(grams, no_above=0.9, keep_terms=None)
     try:
         model = topics.fit_topics(
-            features, terms, 8, features.count(), TRIAL, whole_corpus_updates=10
+            features, terms, 8, features.count(), SHORT_SWEEP, whole_corpus_updates=NGRAM_UPDATES
         )
     finally:
         features.unpersist()
@@ -158,6 +162,6 @@ def model_comparison(spark, sf_dir):
 @query("full_report")
 def full_report(spark, sf_dir):
     """The whole analysis of the assembled conversations; its result is the worst topics."""
-    settings = TRIAL.with_(min_count=5, max_updates=5, end_topics=4)
-    analysis = ConversationAnalysis(settings, scorer=text_scorer, key=["conv_id", "part"])
+    settings = SHORT_SWEEP.with_(min_count=5, end_topics=4)
+    analysis = ConversationAnalysis(settings, scorer=text_scorer)
     return analysis.fit(assembled(spark, sf_dir)).final_insights

@@ -307,6 +307,16 @@ def topic_distribution(spark, sf_dir):
     return insights.topic_distribution(assigned(spark, sf_dir)).withColumns(rounded("percentage"))
 
 
+@query(
+    "topic_count",
+    f"""WITH {LABELS_SQL} SELECT count(DISTINCT doc_id % 7 + 1) AS n_topics,
+      count(DISTINCT coalesce(topic_label, 'Unknown Topic')) AS n_labels
+      FROM documents LEFT JOIN labels_given ON topic = doc_id % 7 + 1""",
+)
+def topic_count(spark, sf_dir):
+    return insights.topic_count(assigned(spark, sf_dir))
+
+
 _MEANS = ("relevance", "accuracy", "completeness", "conciseness", "tone")
 _MEANS_SQL = ", ".join(f"round(avg({name}), 6) AS {name}" for name in _MEANS)
 _SCORES_BY_LABEL_SQL = (

@@ -84,12 +84,12 @@ def unified_column(spark, sf_dir):
 
 _ASSEMBLED_SQL = """
 assembled AS (
-  SELECT conv_id, turn // 1000 AS part,
+  SELECT conv_id,
          'Question: ' || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')
          || ' Answer: '
          || coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '')
          AS conversation
-  FROM conversations GROUP BY conv_id, turn // 1000
+  FROM conversations GROUP BY conv_id
 )"""
 
 
@@ -97,7 +97,7 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble_turns(table(spark, sf_dir, "conversations"))
 
 
-@query("assemble_turns", f"WITH {_ASSEMBLED_SQL} SELECT conv_id, part, conversation FROM assembled")
+@query("assemble_turns", f"WITH {_ASSEMBLED_SQL} SELECT conv_id, conversation FROM assembled")
 def assemble_turns(spark, sf_dir):
     return assembled(spark, sf_dir)
 
@@ -144,14 +144,14 @@ def strip_placeholders(spark, sf_dir):
 @query(
     "tokenize",
     f"""WITH {_ASSEMBLED_SQL}
-    SELECT conv_id, part, CAST(len({raw_sql('conversation')}) AS INTEGER) AS n_tokens,
+    SELECT conv_id, CAST(len({raw_sql('conversation')}) AS INTEGER) AS n_tokens,
            array_to_string({raw_sql('conversation')}, ' ') AS normalized
     FROM assembled""",
 )
 def tokenize(spark, sf_dir):
     tokens = normalize.tokenize(assembled(spark, sf_dir))
     return normalize.token_text(tokens).select(
-        "conv_id", "part", F.size("tokens").alias("n_tokens"), "normalized"
+        "conv_id", F.size("tokens").alias("n_tokens"), "normalized"
     )
 
 
@@ -170,12 +170,12 @@ def normalize_tokens(spark, sf_dir):
 @query(
     "normalized_text",
     f"""WITH {_ASSEMBLED_SQL}
-    SELECT conv_id, part, array_to_string({content_sql('conversation')}, ' ') AS normalized
+    SELECT conv_id, array_to_string({content_sql('conversation')}, ' ') AS normalized
     FROM assembled WHERE len({content_sql('conversation')}) > 0""",
 )
 def normalized_text(spark, sf_dir):
     tokens = normalize.normalize_tokens(assembled(spark, sf_dir))
-    return normalize.token_text(tokens).select("conv_id", "part", "normalized")
+    return normalize.token_text(tokens).select("conv_id", "normalized")
 
 
 @query(

@@ -70,20 +70,25 @@ def review_prompts(topics: DataFrame, labels: DataFrame, context: str) -> DataFr
 def keyword_labels(topics: DataFrame) -> DataFrame:
     """`(topic, topic_label)` without a model: the three best terms.
 
-    Where topics share them, all but the first add a later term of their own.
+    Where topics share them, all but the first add a later term of their own; where that runs out, or
+    gives a name that another topic has, they add their number.
     """
     def spelled(terms: Column) -> Column:
         return clean_label(F.translate(F.array_join(terms, " "), "_", " "))
 
     first = topics.select("topic", "terms", spelled(F.slice("terms", 1, 3)).alias("base"))
     place = F.row_number().over(Window.partitionBy("base").orderBy("topic"))
-    return first.withColumn("place", place).select(
-        "topic",
+    term = spelled(F.array(F.get("terms", F.col("place") + 1)))
+    numbered = F.concat_ws(" ", "base", F.col("topic").cast("string"))
+    told = first.withColumn("place", place).select(
+        "topic", "place", numbered.alias("numbered"),
         F.when(F.col("place") == 1, F.col("base"))
-        .otherwise(
-            F.concat_ws(" ", "base", spelled(F.array(F.get("terms", F.col("place") + 1))))
-        )
-        .alias("topic_label"),
+        .when(F.coalesce(term, F.lit("")) != "", F.concat_ws(" ", "base", term))
+        .otherwise(numbered).alias("name"),
+    )
+    same = F.row_number().over(Window.partitionBy("name").orderBy("place", "topic"))
+    return told.withColumn("same", same).select(
+        "topic", F.when(F.col("same") == 1, F.col("name")).otherwise(F.col("numbered")).alias("topic_label")
     )
 
 

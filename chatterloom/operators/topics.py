@@ -43,13 +43,12 @@ class TopicModel:
 
 
 def training_schedule(n_docs: int, settings: Settings) -> tuple[int, float]:
-    """`(updates, share of documents per update)`.
+    """`(updates, share of documents per update)`: `passes` visits per document in chunks.
 
-    Small corpora use chunks of `chunk_size`. Since every update scans the corpus, larger ones use
-    fewer, larger chunks; updates * share stays at `passes` visits per document.
+    The rule is the same at every size. Every update scans the corpus once, so for a large corpus
+    choose a larger `chunk_size`.
     """
     updates = settings.passes * max(1, math.ceil(n_docs / settings.chunk_size))
-    updates = min(updates, max(settings.max_scans, settings.passes))
     return updates, min(1.0, settings.passes / updates)
 
 
@@ -64,8 +63,6 @@ def fit_topics(
     updates, share = training_schedule(n_docs, settings)
     if whole_corpus_updates is not None:
         updates, share = whole_corpus_updates, 1.0
-    if settings.max_updates is not None:
-        updates = min(updates, settings.max_updates)
     lda = LDA(
         k=num_topics, featuresCol="features", optimizer="online", seed=settings.seed,
         maxIter=updates, subsamplingRate=share,
@@ -175,7 +172,7 @@ def top_topics(corpus: DataFrame, terms: DataFrame, window: int = 110) -> DataFr
 def category_purity(df: DataFrame, category_col: str, topic_col: str) -> DataFrame:
     """Known categories against found topics: `(category, topic, n, topic_share, purity)`.
 
-    `topic_share` is the part of the topic that the category makes up; `purity`, the same in every
+    Rows without a topic form a topic of their own, null. `topic_share` is the part of the topic that the category makes up; `purity`, the same in every
     row, is the share of all rows that belong to the main category of their topic.
     """
     counts = df.groupBy(category_col, topic_col).agg(F.count("*").alias("n"))
@@ -183,7 +180,8 @@ def category_purity(df: DataFrame, category_col: str, topic_col: str) -> DataFra
         F.sum("n").alias("topic_n"), F.max("n").alias("main_n")
     )
     purity = sizes.agg((F.sum("main_n") / F.sum("topic_n")).alias("purity"))
-    return counts.join(sizes, topic_col).select(
+    sizes = sizes.withColumnRenamed(topic_col, "sized_topic")
+    return counts.join(sizes, F.col(topic_col).eqNullSafe(F.col("sized_topic"))).select(
         category_col, topic_col, "n",
         (F.col("n") / F.col("topic_n")).alias("topic_share"),
         purity.scalar().alias("purity"),

@@ -102,12 +102,12 @@ def frequent_terms(
 
 
 def build_vocabulary(
-    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000,
-    area: StagingArea | None = None,
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95,
+    keep_terms: int | None = 100_000, area: StagingArea | None = None,
 ) -> DataFrame:
     """`(term, term_id, df, cf)`, ids counting from 0 by falling document frequency, then term."""
     kept = frequent_terms(corpus, no_below, no_above, keep_terms, area)
-    # At most `keep_terms` rows reach this window.
+    # Only terms in `no_below` documents or more reach this window, at most `keep_terms` of them.
     order = Window.orderBy(F.desc("df"), "term")
     return kept.select(
         "term", (F.row_number().over(order) - 1).alias("term_id"), "df", "cf"
@@ -115,15 +115,15 @@ def build_vocabulary(
 
 
 def fit_vectorizer(
-    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95, keep_terms: int = 100_000,
-    area: StagingArea | None = None,
+    corpus: DataFrame, no_below: int = 5, no_above: float = 0.95,
+    keep_terms: int | None = 100_000, area: StagingArea | None = None,
 ) -> CountVectorizerModel:
     """A transformer from `tokens` to the sparse term counts that topic models train on.
 
     Its indices are the ids of `build_vocabulary`, so equal corpora give equal vectors.
     """
     vocabulary = build_vocabulary(corpus, no_below, no_above, keep_terms, area)
-    # At most `keep_terms` terms.
+    # The model lives on the driver with all its terms: at most `keep_terms`, or as many as pass.
     terms = [row["term"] for row in vocabulary.orderBy("term_id").select("term").collect()]
     if not terms:
         raise ValueError("no term passes the vocabulary filter; lower no_below")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
     """A CSV file or folder with a header row; quoted cells may span lines.
 
-    Give a schema for large input: inferring types reads the files twice.
+    Give a schema for large input: inferring types reads the files twice. Where no cell spans lines,
+    `multi_line=False` lets several tasks read one file.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

@@ -29,15 +29,20 @@ def test_question_pairs_across_blocks(spark):
     assert {(r["conv_id"], r["turn"]): r["answer"] for r in found} == expected
 
 
-def test_long_conversations_come_in_parts(spark):
+def test_conversations_are_one_row_however_long_or_sparse(spark):
+    turns = [*range(6), 2999, 1_700_000_000, 1_700_001_500]
     df = spark.createDataFrame(
-        [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(6)],
+        [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in turns]
+        + [(2, 5000, "user", "q"), (2, 9001, "user", None), (3, 1, "system", "s")],
         "conv_id long, turn long, role string, text string",
     )
-    whole = assemble.assemble_turns(df).collect()
-    assert [tuple(r) for r in whole] == [(1, 0, "Question: m0 m2 m4 Answer: m1 m3 m5")]
-    parts = sorted(tuple(r) for r in assemble.assemble_turns(df, part_turns=4).collect())
-    assert parts == [(1, 0, "Question: m0 m2 Answer: m1 m3"), (1, 1, "Question: m4 Answer: m5")]
+    told = lambda rest: " ".join(f"m{t}" for t in turns if t % 2 == rest)
+    expected = [
+        (1, f"Question: {told(0)} Answer: {told(1)}"), (2, "Question: q Answer: "), (3, "Question:  Answer: "),
+    ]
+    for block in (1000, 4):
+        found = assemble.assemble_turns(df, block_turns=block)
+        assert sorted(tuple(r) for r in found.collect()) == expected
 
 
 def test_columns_must_be_lists_and_exist(spark):
@@ -178,6 +183,14 @@ def test_sources(spark, tmp_path):
     assert tables.read_parquet(spark, str(tmp_path / "table")).count() == 2
 
 
+def test_topics_with_the_same_terms_get_names_of_their_own(spark):
+    rows = [(i, f"Topic{i}", ["a", "b", "c"]) for i in range(1, 5)] + [(5, "Topic5", ["a", "b", "c", "x", "y"])]
+    df = spark.createDataFrame(rows, "topic int, topic_key string, terms array<string>")
+    names = [r["topic_label"] for r in labels.keyword_labels(df).collect()]
+    assert len(set(names)) == 5 and all(name == name.strip() for name in names)
+    assert "A B C" in names
+
+
 def test_staged_tables_are_released(spark):
     with StagingArea(spark) as area:
         staged = area.stage(spark.range(5).toDF("x"), "numbers")
@@ -191,9 +204,15 @@ def test_whole_analysis(spark):
     sides = [[f"ship{i}" for i in range(15)], [f"plane{i}" for i in range(15)]]
     rows = [(i, " ".join(rng.choice(sides[i % 2]) for _ in range(25))) for i in range(120)]
     rows += [(500, ""), (501, None), (502, "the of 12")]
-    df = spark.createDataFrame(rows, "conv_id long, conversation string")
+    # Words that the vocabulary does not keep: no topic, so never part of the sample.
+    rows += [(600 + i, "rare" + "abcdefghij"[i % 10] * (2 + i // 10)) for i in range(60)]
+    rows = [(key, text, f"side{key % 2}") for key, text in rows]
+    df = spark.createDataFrame(rows, "conv_id long, conversation string, category string")
     settings = Settings(start_topics=2, end_topics=3, passes=6, sample_size=40, insight_topics=1)
-    analysis = ConversationAnalysis(settings, scorer=text_scorer, summarizer=text_scorer)
+    analysis = ConversationAnalysis(
+        settings, scorer=text_scorer, summarizer=text_scorer, carry=["category"], with_bound=True,
+        insights_for="best",
+    )
     for name in ("topics_df", "corpus_topic_df", "coherence_df", "assessed_df", "final_insights"):
         with pytest.raises(ValueError):
             getattr(analysis, name)
@@ -204,8 +223,13 @@ def test_whole_analysis(spark):
     assert analysis.topics_df.columns == ["topic_key", "topic_label", "terms"]
     assert analysis.topics_as_list.count() == analysis.best_num_topics
     found = {r["conv_id"]: r for r in analysis.corpus_topic_df.collect()}
-    assert len(found) == 123
-    assert all(found[i]["dominant_topic"] is None for i in (500, 501, 502))
+    assert len(found) == 183
+    assert all(found[i]["dominant_topic"] is None for i in (500, 501, 502, *range(600, 660)))
+    assert all(r["category"] == f"side{i % 2}" for i, r in found.items())
+    assert all((r["topic_desc"] is None) == (r["dominant_topic"] is None) for r in found.values())
+    assert analysis.coherence_df.where("log_perplexity_bound IS NULL").count() == 0
+    assert analysis.assessed_df.where("dominant_topic IS NULL OR topic_label IS NULL").count() == 0
+    assert analysis.final_insights.where("topic_label IS NULL").count() == 0
     assert abs(sum(r["percentage"] for r in analysis.topic_distribution.collect()) - 100) < 1e-9
     assert analysis.assessed_df.count() == 40
     assert analysis.final_insights.count() == 1 and analysis.criteria_chart.count() == 1

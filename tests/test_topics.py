@@ -143,10 +143,35 @@ def test_schedule_visits_every_document_equally_often():
     small = topics.training_schedule(10_000, Settings())
     assert small == (100, 0.2)
     updates, share = topics.training_schedule(10**10, Settings())
-    assert updates == 400 and updates * share == pytest.approx(20)
+    assert updates == 20 * 5 * 10**6 and updates * share == pytest.approx(20)
     assert topics.training_schedule(10, Settings()) == (20, 1.0)
 
 
+def test_purity_counts_rows_without_a_topic(spark):
+    rows = [("a", 1), ("a", 1), ("b", 1), ("a", None), ("b", None), ("b", None), (None, 2)]
+    df = spark.createDataFrame(rows, "label string, topic int")
+    found = {(r["label"], r["topic"]): r for r in topics.category_purity(df, "label", "topic").collect()}
+    assert len(found) == 5
+    assert found["b", None]["topic_share"] == pytest.approx(2 / 3)
+    assert {round(r["purity"], 6) for r in found.values()} == {round(5 / 7, 6)}
+
+
+def test_window_counts_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(coherence, "CUTS", 5)
+    rng = random.Random(13)
+    docs = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))] for _ in range(60)]
+    codes = {word: i for i, word in enumerate("abc")}
+    hits = [(d, p, codes[w]) for d, doc in enumerate(docs) for p, w in enumerate(doc) if w in codes]
+    document, place, word = (np.array(column) for column in zip(*hits))
+    per = np.array([max(1, len(doc) - 5) if doc else 0 for doc in docs])
+    windows, in_docs = coherence._shared(
+        word, document, place, per[document] - 1, (np.cumsum(per) - per)[document], 6, 3
+    )
+    _n, seen, doc_seen = brute_counts(docs, set("abc"), 6)
+    for a, b in itertools.product("abc", repeat=2):
+        assert windows[codes[a], codes[b]] == seen[a, b] and in_docs[codes[a], codes[b]] == doc_seen[a, b]
+
+
 def test_best_count_is_the_first_maximum(spark):
     scores = spark.createDataFrame(
         [(3, 0.4), (4, 0.51234), (5, 0.51231), (6, None)], "num_topics int, c_v double"
