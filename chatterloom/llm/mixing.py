@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterloom.llm.common import area_for, read_table
+from chatterloom.llm.common import area_for, fresh_name, read_table
 from chatterloom.sources.staging import StagingArea
 
 WEIGHTS = (1, 2, 3)
@@ -189,11 +189,13 @@ def plan_mix(
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of `df` as often as the mix takes them, with all their columns."""
-    plan = plan_mix(df, key, text, source).where("copies > 0").groupBy(F.col(key).alias("_key")).agg(
-        F.max("copies").alias("_copies")
+    name, times = fresh_name(df, "_key"), fresh_name(df, "_copies")
+    plan = plan_mix(df, key, text, source).where("copies > 0").groupBy(F.col(key).alias(name)).agg(
+        F.max("copies").alias(times)
     )
-    taken = df.join(plan, df[key].eqNullSafe(plan["_key"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[df[c] for c in df.columns])
+    taken = df.join(plan, df[key].eqNullSafe(plan[name]))
+    copy = F.explode(F.sequence(F.lit(1), plan[times])).alias(fresh_name(df, "_copy"))
+    return taken.select(*[df[c] for c in df.columns], copy).select(*df.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
