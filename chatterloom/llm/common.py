@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatterloom.sources.shipping import ship_package
 from chatterloom.sources.staging import StagingArea
@@ -78,5 +79,37 @@ def area_for(df: DataFrame, area: StagingArea | None) -> StagingArea:
     return area if area is not None else StagingArea(df.sparkSession)
 
 
+#: Bits of a bitmap of hashed keys: 16 MB at most, however many keys there are.
+BITMAP_BITS = 1 << 27
+
+
+def bitmap_of(keys: DataFrame, *columns: str) -> DataFrame:
+    """`(part, bits)`: a bitmap of the hashed keys, of a fixed size, to be sent to all tasks."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    return keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+
+
+def perhaps_in(df: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
+    """The rows of `df` whose hashed key is in the bitmap: all that have a key in the table it was made
+    from and few others. An exact join behind it then shuffles little."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    part, bits = fresh_name(df, "_part"), fresh_name(df, "_bits")
+    named = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(bits)))
+    position = F.bitmap_bit_position(place)
+    byte = F.substring(F.col(bits), F.floor(position / 8).cast("int") + 1, F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int"))
+    return df.withColumn(part, F.bitmap_bucket_number(place)).join(named, part).where(held == 1).select(*df.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that `df` does not have in any spelling."""
+    taken = {name.lower() for name in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
