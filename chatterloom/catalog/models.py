@@ -129,6 +129,25 @@ def embedding_clusters(spark, sf_dir):
     return _clustered(spark, sf_dir)[1]
 
 
+@query("cluster_topics")
+def cluster_topics(spark, sf_dir):
+    """Every document, also those without a vector."""
+    found, _terms = _clustered(spark, sf_dir)
+    return clusters.cluster_topics(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id")), found).select(
+        "conv_id", "topic"
+    )
+
+
+@query(
+    "vector_coverage",
+    """SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM embeddings) AS n_vectors,
+      (SELECT count(*) FROM documents JOIN embeddings ON doc_id = vec_id) AS n_both""",
+)
+def vector_coverage(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"))
+    return clusters.vector_coverage(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id")), vectors)
+
+
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     rows = []

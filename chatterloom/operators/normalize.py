@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
@@ -31,8 +31,24 @@ def normalize_tokens(
     """
     tokens = T.tokens_without_numbers(F.col(column))
     if lemmas is not None:
-        df = replace_tokens(compute_once(df, {"tokens": tokens}), lemmas, key=key)
-        tokens = F.col("tokens")
+        light = compute_once(df, {"tokens": tokens})
+        return content_tokens(light, stop_words, lemmas, min_chars, keep_empty, key)
+    return _with_content(df, tokens, stop_words, min_chars, keep_empty)
+
+
+def content_tokens(
+    light: DataFrame, stop_words: Iterable[str] = STOP_WORDS, lemmas: DataFrame | None = None,
+    min_chars: int = 2, keep_empty: bool = False, key: Iterable[str] = ("conv_id",),
+) -> DataFrame:
+    """`normalize_tokens` for rows whose `tokens` are words without numbers already."""
+    if lemmas is not None:
+        light = replace_tokens(light, lemmas, key=key)
+    return _with_content(light, F.col("tokens"), stop_words, min_chars, keep_empty)
+
+
+def _with_content(
+    df: DataFrame, tokens: Column, stop_words: Iterable[str], min_chars: int, keep_empty: bool
+) -> DataFrame:
     tokens = T.keep_content(tokens, stop_words, min_chars)
     if keep_empty:
         tokens = F.coalesce(tokens, F.array().cast("array<string>"))
