@@ -83,8 +83,9 @@ def _hash(*parts: object) -> int:
 
 
 @functools.lru_cache(maxsize=20_000)
-def _attributes(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """What tells an element apart (its classes), whether it is boilerplate, whether it names the main part."""
+def _attributes(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """What tells an element apart (its classes), whether it is boilerplate, whether it is so for no more
+    than being a header, and whether it names the main part."""
     found = {name.lower(): a or b or c for name, a, b, c in _ATTRIBUTE.findall(attrs)}
     label = html_entities.unescape(f"{found.get('class', '')} {found.get('id', '')}")
     words = [word.lower() for word in _NAME_WORDS.findall(label)]
@@ -95,6 +96,7 @@ def _attributes(tag: str, attrs: str) -> tuple[str, bool, bool]:
         or "display:none" in re.sub(r"\s", "", found.get("style") or "").lower()
     )
     boilerplate = hidden or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES
+    header = not boilerplate and told & BOILERPLATE_WORDS == {"header"}
     if tag not in ("html", "body", "main", "article"):
         boilerplate = boilerplate or bool(told & BOILERPLATE_WORDS)
     elif tag == "article":
@@ -102,7 +104,7 @@ def _attributes(tag: str, attrs: str) -> tuple[str, bool, bool]:
     main = tag == "main" or role == "main" or found.get("itemprop") == "articleBody" or (
         tag in ("div", "section", "td") and bool(told & MAIN_WORDS)
     )
-    return " ".join(sorted((found.get("class") or "").split())), boilerplate, main
+    return " ".join(sorted((found.get("class") or "").split())), boilerplate, header, main
 
 
 @dataclass(slots=True)
@@ -139,13 +141,14 @@ def _open(stack: list[_Element], tag: str, attrs: str, number: int) -> _Element:
         _pop(stack, CLOSES[tag], _CONTAINERS)
     above = stack[-1]
     if not attrs and tag not in BOILERPLATE_TAGS and tag not in ("main", "article", "header"):
-        label, boilerplate, main = "", False, False
+        label, boilerplate, header, main = "", False, False, False
     else:
-        label, boilerplate, main = _attributes(tag, attrs)
-    if tag == "header":
-        boilerplate = boilerplate or not above.article
-    if boilerplate and above.article and "header" in label.lower() and tag in ("header", "div", "section"):
-        boilerplate = False  # the head of the article itself
+        label, boilerplate, header, main = _attributes(tag, attrs)
+    # The header of an article is part of it, that of a page is not.
+    if above.article and header:
+        boilerplate = False
+    elif tag == "header" and not above.article:
+        boilerplate = True
     path = _hash(above.path, tag, label) if tag in BLOCK else above.path
     article = above.article or (number if tag == "article" and not (boilerplate or above.boilerplate) else 0)
     element = _Element(tag, path, above.boilerplate or boilerplate, article, number if main else above.main)
