@@ -35,8 +35,10 @@ ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 MAX_LETTERS = 32
-#: Distinct words whose scores a worker remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 400_000
+#: Scores of distinct words, one per language, that a worker remembers; the memory is emptied when full.
+REMEMBERED_SCORES = 2_000_000
+#: Words times languages that are scored at once.
+SCORED_AT_ONCE = 32_768
 UNDETERMINED = "und"
 _MARK = "▁"
 
@@ -126,9 +128,10 @@ def log_scores(trie: Trie, probability: np.ndarray, words: list[str]) -> np.ndar
     """The log probability of every word in every language."""
     total = np.zeros((len(words), probability.shape[1]))
     for places, codes in by_length(words):
-        for start in range(0, len(places), 8192):
-            part = codes[start:start + 8192]
-            total[places[start:start + 8192]] = np.log(forward(part, arcs(trie, part), probability)[:, -1])
+        step = max(1, SCORED_AT_ONCE // probability.shape[1])
+        for start in range(0, len(places), step):
+            part = codes[start:start + step]
+            total[places[start:start + step]] = np.log(forward(part, arcs(trie, part), probability)[:, -1])
     return total
 
 
@@ -193,7 +196,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         cut = [words_of(text) for text in texts]
-        if len(self.places) > REMEMBERED_WORDS:
+        if self.table.size > REMEMBERED_SCORES:
             self._forget()
         new = list(set().union(*cut).difference(self.places)) if self.languages else []
         if new:
@@ -224,8 +227,12 @@ def fit(df: DataFrame, path: str, learn: Column, key: str, text: str, lang: str)
     )
     chosen = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    # The rows of least hash are taken. Of a language with many, those beyond a share that surely holds
+    # them are left out before rows are ranked, so that one language is no burden to one task.
+    share = F.xxhash64("key") / F.lit(2.0**64) + 0.5
     sample = (
-        labelled.select("lang", "key").join(F.broadcast(chosen.select("lang")), "lang")
+        labelled.select("lang", "key").join(F.broadcast(chosen), "lang")
+        .where(share * F.col("n") <= 8 * SAMPLE_ROWS)
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS)
         .select("lang", "key").distinct()
     )
