@@ -93,7 +93,8 @@ def bitmap_of(keys: DataFrame, *columns: str) -> DataFrame:
 
 def perhaps_in(df: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
     """The rows of `df` whose hashed key is in the bitmap: all that have a key in the table it was made
-    from and few others. An exact join behind it then shuffles little."""
+    from and few others. An exact inner join behind it then shuffles little; a semi join would be moved
+    in front of it."""
     place = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
     part, bits = fresh_name(df, "_part"), fresh_name(df, "_bits")
     named = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(bits)))

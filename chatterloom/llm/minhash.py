@@ -6,11 +6,12 @@
 3. In each bucket the member with most company is compared with all others: one pair per member.
    This joins most copies, whatever the size of their group.
 4. Buckets whose members are still in several components are compared in full, in blocks of bounded
-   size inside one task: first the signatures, then exact set sizes by matrix products. Only links
-   that join different components leave a block, so no pairs within a group are listed.
+   size inside one task: first the signatures, then, for members that come close to another component,
+   exact set sizes by matrix products. Only links that join different components leave a block, so no
+   pairs within a group are listed.
 
 Links are confirmed on the full sets in both steps. With BANDS bands of ROWS minima a pair at the
-threshold shares no bucket with a chance of (1 - t ** ROWS) ** BANDS: 5e-8 at 0.80, 6e-11 at 0.85.
+threshold shares no bucket with a chance of (1 - t ** ROWS) ** BANDS: 1e-7 at 0.80, 6e-11 at 0.85.
 
 Defined results: texts that are null, empty or without words have no shingles and link with nothing;
 texts with fewer words than a shingle count as one shingle; rows that repeat a key form one document,
@@ -29,17 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
-    area_for, as_bytes, read_table, rows_of, prepare, window_hashes, word_hashes, words,
+    WINDOW_MULTIPLIERS, area_for, as_bytes, bitmap_of, fresh_name, perhaps_in, read_table, rows_of, prepare, window_hashes, word_hashes, words,
 )
 from chatterloom.llm.components import components
 from chatterloom.sources.staging import StagingArea
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: Members and shingles that a block of a bucket holds, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: How far below the threshold the share of equal minima may lie, in standard deviations.
-SLACK = 6.0
+SLACK = 5.0
 #: Columns of one matrix product.
 _COLUMNS = 8192
 
@@ -61,12 +62,13 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 
 def minima(values: np.ndarray) -> np.ndarray:
-    """The minimum of the set under each hash function."""
+    """The minimum of the set under each hash function, folded to 16 bits."""
     least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for start in range(0, len(values), 2048):
         hashed = _MULTIPLIERS[:, None] * values[None, start:start + 2048] + _SUMMANDS[:, None]
-        np.minimum(least, (hashed >> np.uint64(32)).min(1), out=least)
-    return least.astype(np.uint32)
+        np.minimum(least, hashed.min(1) >> np.uint64(32), out=least)
+    # Minima of long texts are all small, so they are mixed before they are cut.
+    return (least * np.uint64(WINDOW_MULTIPLIERS[0]) >> np.uint64(48)).astype(np.uint16)
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -104,19 +106,25 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return narrow.mapInArrow(run, "key bigint, shingles array<bigint>")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame, area: StagingArea) -> DataFrame:
     """`(bucket, rep, n)` for buckets of several members, of equal ones only one."""
     bands = classes.select(
         "rep", "n", F.posexplode(F.expr(
-            f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(minima, b * {4 * ROWS} + 1, {4 * ROWS})))"
+            f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(minima, b * {2 * ROWS} + 1, {2 * ROWS})))"
         )).alias("band", "bucket"),
     ).select("bucket", "rep", "n")
-    several = bands.groupBy("bucket").agg(
+    chosen = area.stage(_unlike(bands), "chosen")
+    few = perhaps_in(bands, bitmap_of(chosen, "bucket"), "bucket")
+    return few.join(chosen, "bucket").select("bucket", "members", "rep", "n")
+
+
+def _unlike(members: DataFrame) -> DataFrame:
+    """`(bucket, members)` of buckets (bucket, rep) with several members, of buckets alike only one."""
+    several = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(rep))").alias("a"),
         F.expr("bit_xor(xxhash64(rep, 1))").alias("b"),
     ).where("members > 1")
-    chosen = several.groupBy("members", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-    return bands.join(chosen, "bucket").select("bucket", "members", "rep", "n")
+    return several.groupBy("members", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,22 +165,16 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 
 def _block_links(
-    rows: list[tuple[int, int, np.ndarray, np.ndarray]], others: list, percent: int
+    rows: list[tuple[int, int, np.ndarray, int, np.ndarray]], others: list, percent: int
 ) -> list[tuple[int, int]]:
-    """Links `(rep, rep)` between the rows `(rep, component, minima, set)` of one and other side that
+    """Links `(rep, rep)` between the rows `(rep, component, minima, n, set)` of one and other side that
     join components; as many as it takes, none twice."""
-    share = _share(np.stack([row[2] for row in rows]), np.stack([row[2] for row in others]))
-    wanted = percent / 100
-    least = HASHES * wanted - SLACK * (HASHES * wanted * (1 - wanted)) ** 0.5
-    sizes, sizes_other = np.array([len(row[3]) for row in rows]), np.array([len(row[3]) for row in others])
-    long, short = np.maximum(sizes[:, None], sizes_other), np.minimum(sizes[:, None], sizes_other)
-    comps, comps_other = np.array([row[1] for row in rows]), np.array([row[1] for row in others])
-    likely = (share >= least) & (100 * short >= percent * long) & (comps[:, None] != comps_other)
+    likely = _likely(rows, others, percent)
     up, down = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
     if not len(up):
         return []
-    shared = _intersections([rows[i][3] for i in up], [others[i][3] for i in down])
-    union = sizes[up][:, None] + sizes_other[down] - shared
+    shared = _intersections([rows[i][4] for i in up], [others[i][4] for i in down])
+    union = np.array([rows[i][3] for i in up])[:, None] + np.array([others[i][3] for i in down]) - shared
     linked = (100 * shared >= percent * union) & likely[np.ix_(up, down)]
     parent: dict[int, int] = {}
 
@@ -191,38 +193,72 @@ def _block_links(
     return links
 
 
-def _residual_links(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside buckets, found block against block.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Deals the members of every bucket into blocks of bounded size, each pair of blocks a group.
 
-    `members` has (bucket, rep, n, comp) of the buckets that hold several components.
+    Adds (low, high), the blocks of the group, `first`, whether the row is of block `low`, and `alone`,
+    whether the group is one block compared with itself.
     """
     sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
         "bucket", F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return (
         members.join(sized, "bucket")
-        .withColumn("block", block)
+        .withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "bucket", "rep", "comp", (F.col("block") <= F.col("other")).alias("first"),
+            "bucket", "rep", "n", "comp", (F.col("block") <= F.col("other")).alias("first"),
             (F.col("block") == F.col("other")).alias("alone"),
             F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         )
-        .join(signs.select(F.col("rep"), "minima"), "rep")
-        .join(sets.select(F.col("key").alias("rep"), "shingles"), "rep")
     )
 
+
+def _sides(table: pa.Table, rows: list) -> tuple[list, list]:
+    flags = list(zip(rows, table.column("first").to_pylist(), table.column("alone").to_pylist()))
+    return [row for row, first, _ in flags if first], [row for row, first, alone in flags if alone or not first]
+
+
+def _likely(rows: list, others: list, percent: int) -> np.ndarray:
+    """Which pairs of (rep, component, minima, n, ...) may link components, by signatures and sizes."""
+    share = _share(np.stack([row[2] for row in rows]), np.stack([row[2] for row in others]))
+    wanted = percent / 100
+    least = HASHES * wanted - SLACK * (HASHES * wanted * (1 - wanted)) ** 0.5
+    sizes, others_sizes = np.array([row[3] for row in rows]), np.array([row[3] for row in others])
+    long, short = np.maximum(sizes[:, None], others_sizes), np.minimum(sizes[:, None], others_sizes)
+    comps, others_comps = np.array([row[1] for row in rows]), np.array([row[1] for row in others])
+    return (share >= least) & (100 * short >= percent * long) & (comps[:, None] != others_comps)
+
+
+def _promising(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, rep) that some signature of another component in their bucket comes close to."""
+    def run(table: pa.Table) -> pa.Table:
+        minima_ = [np.frombuffer(value, np.uint16) for value in table.column("minima").to_pylist()]
+        rows = list(zip(*(table.column(name).to_pylist() for name in ("rep", "comp")), minima_, table.column("n").to_pylist()))
+        one, other = _sides(table, rows)
+        likely = _likely(one, other, percent) if one and other else np.zeros((0, 0), bool)
+        found = {one[i][0] for i in np.flatnonzero(likely.any(1))} | {other[i][0] for i in np.flatnonzero(likely.any(0))}
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), "rep": pa.array(sorted(found), pa.int64())})
+
+    dealt = _blocks(members).join(signs, "rep")
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "bucket bigint, rep bigint").distinct()
+
+
+def _residual_links(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside buckets, found block against block on the full sets."""
+    dealt = _blocks(members).join(signs, "rep").join(sets.select(F.col("key").alias("rep"), "shingles"), "rep")
+
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(name).to_pylist() for name in ("rep", "comp", "first", "alone", "minima")]
+        columns = [table.column(name).to_pylist() for name in ("rep", "comp", "minima")]
         held = table.column("shingles").combine_chunks()
         held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
         rows = []
-        for i, (rep, comp, first, alone, minima_) in enumerate(zip(*columns)):
+        for i, (rep, comp, minima_) in enumerate(zip(*columns)):
             found = held.slice(i, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            rows.append((first, alone, (rep, comp, np.frombuffer(minima_, np.uint32), found)))
-        one = [row for first, _, row in rows if first]
-        other = [row for first, alone, row in rows if alone or not first]
+            rows.append((rep, comp, np.frombuffer(minima_, np.uint16), len(found), found))
+        one, other = _sides(table, rows)
         links = _block_links(one, other, percent) if one and other else []
         return pa.table({
             "u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64()),
@@ -248,12 +284,13 @@ def near_duplicates(
             F.min("key").alias("rep"), F.min("n").alias("n"), F.min("minima").alias("minima")
         ), "classes",
     )
-    members = area.stage(_buckets(classes), "buckets")
+    members = area.stage(_buckets(classes, area), "buckets")
     signs = classes.select("rep", "minima")
 
     # Texts are read again for the few documents that share a bucket, rather than kept as sets for all.
     wanted = members.select(F.col("rep").alias("key")).distinct()
-    candidates = shingle_sets(source.join(wanted, "key", "left_semi"), "key", "text", width)
+    texts = perhaps_in(source, bitmap_of(wanted, "key"), "key").join(wanted, "key")
+    candidates = shingle_sets(texts, "key", "text", width)
     sets = area.stage(candidates.groupBy("key").agg(F.min("shingles").alias("shingles")), "sets")
 
     company = members.groupBy("rep").agg(F.sum("members").alias("company"))
@@ -274,7 +311,9 @@ def near_duplicates(
     )
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
     residual = area.stage(labelled.join(mixed, "bucket", "left_semi"), "residual")
-    more = area.stage(_residual_links(residual, signs, sets, percent), "more")
+    promising = area.stage(_promising(residual, signs, percent), "promising")
+    narrowed = promising.join(_unlike(promising).select("bucket"), "bucket")
+    more = area.stage(_residual_links(residual.join(narrowed, ["bucket", "rep"]), signs, sets, percent), "more")
     whole = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = components(whole, area, "whole")
 
@@ -295,12 +334,44 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     Of rows that repeat a kept key one stays.
     """
-    dropped = near_duplicates(df, key, text, width, percent).where(~F.col("kept")).select(F.col(key).cast("bigint").alias("_dropped"))
+    name = fresh_name(df, "_dropped")
+    dropped = near_duplicates(df.select(key, text), key, text, width, percent).where(~F.col("kept")).select(
+        F.col(key).cast("bigint").alias(name)
+    )
     keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
-    stay = keyed.join(dropped.distinct(), F.col(key) == F.col("_dropped"), "left_anti")
+    stay = keyed.join(dropped.distinct(), F.col(key) == F.col(name), "left_anti")
     return stay.unionByName(df.where(F.col(key).isNull()))
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+e AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(r.least, doc_id)) AS component_id,
+  least(doc_id, coalesce(r.least, doc_id)) = doc_id AS kept, least(doc_id, coalesce(s.least, doc_id)) AS class_id
+FROM d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) r USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM e WHERE same GROUP BY a) s USING (doc_id)
+"""

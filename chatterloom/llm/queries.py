@@ -17,6 +17,8 @@ QUERIES = {
 
 #: Operators that SQL cannot express have none: they are tested against brute force.
 ORACLES = {
+    "op1_lines": lines.OP1_SQL,
+    "op4_minhash": minhash.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
