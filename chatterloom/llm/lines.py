@@ -18,13 +18,17 @@ empty table gives an empty one. Other columns are ignored by `line_ledger` and k
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.common import area_for, prepare, read_table
+from chatterloom.llm.common import (
+    area_for, as_bytes, bitmap_of, fresh_name, perhaps_in, prepare, read_table, rows_of, word_hashes,
+)
 from chatterloom.sources.staging import StagingArea
 
 #: Leading tokens that select a leaf, besides the number of tokens.
@@ -34,40 +38,115 @@ MIN_DOCS, SHORT_TOKENS, SHORT_MIN_DOCS = 2, 8, 10
 #: Documents, constant tokens and share of constant tokens of a template with fields found by comparison.
 MIN_TEMPLATE_DOCS, MIN_CONSTANT, MIN_CONSTANT_SHARE = 3, 8, 0.6
 WILDCARD = "<*>"
-#: White space between tokens, and tokens with a digit (patterns of the regular expression engine).
-_SPACE = r"[\x20\x09-\x0D]+"
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-
-
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line with fields replaced by the wildcard."""
-    masked = F.regexp_replace(line, _FIELD, WILDCARD)
-    return F.filter(F.split(masked, _SPACE), lambda token: token != "")
-
-
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`(key, line_no, tokens, fields)` of lines that have tokens."""
-    narrow = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    split = narrow.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("key", "line_no", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-
-
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Hashes in place of tokens: of the masked line, its leaf and its halves, and of each token."""
-    size = F.size("tokens")
-    rest = F.greatest(size - LEADING, F.lit(0))
-    middle = (LEADING + F.floor((rest + 1) / 2)).cast("int")
-    leaf = F.xxhash64(size, F.slice("tokens", 1, LEADING))
-    constant = F.size(F.filter("tokens", lambda token: token != WILDCARD))
-    return lines.select(
-        "key", "line_no", size.alias("size"), constant.alias("constant"), F.xxhash64(F.col("tokens"), F.lit(1)).alias("line"),
-        F.xxhash64(F.col("tokens"), F.lit(2)).alias("check"), leaf.alias("leaf"),
-        F.when(rest > 1, F.xxhash64(leaf, F.lit(1), F.slice(F.col("tokens"), LEADING + 1, middle - LEADING))).alias("left"),
-        F.when(rest > 1, F.xxhash64(leaf, F.lit(2), F.slice(F.col("tokens"), middle + 1, size))).alias("right"),
-        "tokens",
+_DIGIT = re.compile(rb"[0-9]").search
+_FIELD = WILDCARD.encode()
+_FIELD_HASH = word_hashes([_FIELD])[0]
+#: Odd multipliers of the hashes of a line (fixed values).
+_PLACE, _MIX, _CHECK, _SIZE, _LEAF = (
+    np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+)
+
+
+def _mixed(values: np.ndarray, factor: np.uint64 = _MIX) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * factor
+    return values ^ (values >> np.uint64(29))
+
+
+class Lines:
+    """The lines with tokens of several texts: hashes in place of tokens.
+
+    `place` is the text of a line, `number` its number there, `size` its tokens, `constant` those that are
+    no wildcard, `line` and `check` hash all tokens, `left` and `right` the leaf and one half of the rest,
+    `tokens` the hash of each token. Fields become wildcards before anything is hashed.
+    """
+
+    def __init__(self, texts: list[bytes | None]):
+        flat: list[bytes] = []
+        place, number, size = [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            start = len(flat)
+            for n, line in enumerate(text.split(b"\n")):
+                held = line.split()
+                if held:
+                    flat += held
+                    place.append(i)
+                    number.append(n)
+                    size.append(len(held))
+            if _DIGIT(text):
+                flat[start:] = [_FIELD if _DIGIT(token) else token for token in flat[start:]]
+        self.place, self.number, self.size = (np.array(values, np.int64) for values in (place, number, size))
+        self.tokens = word_hashes(flat)
+        self.starts = np.cumsum(self.size) - self.size
+        if not len(self.size):
+            self.constant = self.size
+            self.line = self.check = self.left = self.right = self.tokens
+            return
+        at = np.arange(len(flat)) - np.repeat(self.starts, self.size)
+        placed = self.tokens + (at + 1).astype(np.uint64) * _PLACE
+        value = _mixed(placed)
+        rest = np.maximum(self.size - LEADING, 0)
+        middle = np.repeat(LEADING + (rest + 1) // 2, self.size)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, self.starts)
+
+        sizes = _mixed(self.size.astype(np.uint64) * _SIZE)
+        zero = np.uint64(0)
+        leaf = _mixed(summed(np.where(at < LEADING, value, zero)) + sizes)
+        self.constant = summed((self.tokens != _FIELD_HASH).astype(np.int64))
+        self.line, self.check = _mixed(summed(value) + sizes), _mixed(summed(_mixed(placed, _CHECK)) + sizes)
+        self.left = _mixed(summed(np.where((at >= LEADING) & (at < middle), value, zero)) + leaf * _LEAF)
+        self.right = _mixed(summed(np.where(at >= middle, value, zero)) + leaf * _SIZE)
+
+    def halves(self, side: np.ndarray) -> pa.Array:
+        """Hashes of a half, null for lines too short to have two."""
+        return pa.array(side.view(np.int64), mask=self.size - LEADING <= 1)
+
+
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+
+
+def _placed(keyed: DataFrame) -> DataFrame:
+    """One narrow row of hashes per line that has tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            found = Lines(as_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(found.place)), pa.array(found.number, pa.int32()),
+                    pa.array(found.size, pa.int32()), pa.array(found.constant, pa.int32()),
+                    pa.array(found.line.view(np.int64)), pa.array(found.check.view(np.int64)),
+                    found.halves(found.left), found.halves(found.right),
+                ],
+                names=["key", "line_no", "size", "constant", "line", "check", "left", "right"],
+            )
+
+    kind = keyed.schema["key"].dataType.simpleString()
+    return keyed.mapInArrow(
+        run, f"key {kind}, line_no int, size int, constant int, line bigint, check bigint, left bigint, right bigint"
     )
 
 
+def _tokens(keyed: DataFrame) -> DataFrame:
+    """`(line, check, tokens)` of every line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            found = Lines(as_bytes(batch.column(1)))
+            offsets = np.append(found.starts, len(found.tokens)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found.line.view(np.int64)), pa.array(found.check.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.tokens.view(np.int64))),
+                ],
+                names=["line", "check", "tokens"],
+            )
+
+    return keyed.mapInArrow(run, "line bigint, check bigint, tokens array<bigint>")
+
+
 def _first(key: str = "key") -> Column:
     return F.min(F.struct(F.col(key).alias("key"), "line_no"))
 
@@ -77,9 +156,10 @@ def line_ledger(
 ) -> DataFrame:
     """`(key, line_no)` of the lines to drop, counted from 0."""
     area = area_for(df, area)
-    hashed = _hashed(_lines(df, key, text))
-    # One narrow row per line; what a template needs of the tokens is read again for the few that differ.
-    placed = area.stage(hashed.drop("tokens", "leaf"), "lines")
+    prepare(df.sparkSession)
+    keyed = _keyed(df, key, text)
+    # What a template needs of the tokens is read again, for the few lines that may form one.
+    placed = area.stage(_placed(keyed), "lines")
 
     # Lines as they stand: partial counts leave a row per line and task at most.
     per_line = area.stage(
@@ -100,27 +180,26 @@ def line_ledger(
 
     # Templates: groups of different lines that agree on leaf and half.
     halves = per_line.select(
-        "line", "check", "low", "high", "size", "first",
+        "line", "check", "low", "high",
         F.explode(F.array("left", "right")).alias("half"),
     ).where("half IS NOT NULL")
     groups = halves.groupBy("half").agg(
         F.count(F.lit(1)).alias("members"), F.min("low").alias("low"), F.max("high").alias("high")
     ).where("members > 1 AND low <> high").select("half")
-    wanted = area.stage(halves.join(groups, "half", "left_semi").select("half", "line", "check"), "halves")
-    # Their tokens come from one line of each, by hash.
-    varied = wanted.select("line", "check").distinct()
-    tokens = _hashed(_lines(df, key, text)).join(varied, ["line", "check"], "left_semi").groupBy("line", "check").agg(
-        F.first(F.transform("tokens", lambda token: F.xxhash64(token))).alias("tokens"),
-        F.first(F.transform("tokens", lambda token: token == WILDCARD)).alias("wild"),
-    )
-    spread = wanted.join(area.stage(tokens, "tokens"), ["line", "check"])
-    positions = spread.select("half", F.posexplode(F.arrays_zip("tokens", "wild")).alias("at", "t")).groupBy("half", "at").agg(
-        (F.min("t.tokens") == F.max("t.tokens")).alias("same"), F.first("t.wild").alias("wild")
+    wanted = area.stage(halves.join(groups, "half", "left_semi").select("half", "line", "check", "low"), "halves")
+    # The tokens come from one document of each line; bitmaps keep other texts and lines from being shuffled.
+    varied = wanted.select("line", "check", "low").distinct()
+    texts = perhaps_in(keyed, bitmap_of(varied, "low"), "key")
+    few = perhaps_in(_tokens(texts), bitmap_of(varied, "line"), "line")
+    tokens = few.join(varied.select("line", "check").distinct(), ["line", "check"]).dropDuplicates(["line", "check"])
+    spread = wanted.drop("low").join(area.stage(tokens, "tokens"), ["line", "check"])
+    positions = spread.select("half", F.posexplode("tokens").alias("at", "token")).groupBy("half", "at").agg(
+        (F.min("token") == F.max("token")).alias("same"), (F.first("token") == int(_FIELD_HASH.view(np.int64))).alias("wild")
     )
     shape = positions.groupBy("half").agg(
         F.count(F.lit(1)).alias("size"), F.count_if(F.col("same") & ~F.col("wild")).alias("constant")
     ).where((F.col("constant") >= MIN_CONSTANT) & (F.col("constant") >= MIN_CONSTANT_SHARE * F.col("size"))).select("half")
-    valid = area.stage(wanted.join(shape, "half", "left_semi"), "valid")
+    valid = area.stage(wanted.drop("low").join(shape, "half", "left_semi"), "valid")
     # Documents per template, from the lines of its members.
     of_template = placed.select("line", "check", "key", "line_no").join(valid, ["line", "check"])
     template_docs = of_template.select("half", "key").distinct().groupBy("half").agg(F.count(F.lit(1)).alias("docs"))
@@ -142,23 +221,26 @@ def _without(text: str, dropped: list[int]) -> str:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", area: StagingArea | None = None) -> DataFrame:
-    """The rows of `df` with `text` freed of repeated lines, and `_dropped`, the numbers of these lines."""
+def cleaned(
+    df: DataFrame, key: str = "doc_id", text: str = "text", dropped: str = "dropped", area: StagingArea | None = None
+) -> DataFrame:
+    """The rows of `df` with `text` freed of repeated lines, and the numbers of these lines or null."""
     area = area_for(df, area)
     prepare(df.sparkSession)
-    drops = line_ledger(df, key, text, area).groupBy(F.col(key).alias("_key")).agg(
-        F.sort_array(F.collect_list("line_no")).alias("_dropped")
+    drops = line_ledger(df, key, text, area).groupBy(F.col(key).alias(fresh_name(df, "_key"))).agg(
+        F.sort_array(F.collect_list("line_no")).alias(dropped)
     )
-    joined = df.join(area.stage(drops, "drops"), df[key] == F.col("_key"), "left").select(*df.columns, "_dropped")
+    drops = area.stage(drops, "drops")
+    joined = df.join(drops, df[key] == drops[drops.columns[0]], "left").select(*[df[c] for c in df.columns], drops[dropped])
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, drops_ = list(batch.columns), batch.column(batch.num_columns - 1)
-            if drops_.null_count < batch.num_rows:
+            columns, gone = list(batch.columns), batch.column(batch.num_columns - 1)
+            if gone.null_count < batch.num_rows:
                 texts = [
-                    value if dropped is None or value is None else _without(value, dropped)
-                    for value, dropped in zip(columns[place].to_pylist(), drops_.to_pylist())
+                    value if numbers is None or value is None else _without(value, numbers)
+                    for value, numbers in zip(columns[place].to_pylist(), gone.to_pylist())
                 ]
                 columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
@@ -168,15 +250,75 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", area: Stagin
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` with cleaned texts; rows of which nothing but white space is left are gone."""
-    found = cleaned(df, key, text)
-    emptied = F.col("_dropped").isNotNull() & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    dropped = fresh_name(df, "_dropped")
+    found = cleaned(df, key, text, dropped)
+    emptied = F.col(dropped).isNotNull() & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
     return found.where(~emptied).select(*df.columns)
 
 
 def op1_lines(spark, sf_dir: str) -> DataFrame:
     found = cleaned(read_table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.coalesce(F.array_join(F.transform("_dropped", lambda i: i.cast("string")), ","), F.lit("")).alias("dropped_lines"),
+        "doc_id", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.transform("dropped", lambda i: i.cast("string")), ","), F.lit("")).alias("dropped_lines"),
         "text",
     )
+
+
+_TOKENS_SQL = (
+    rf"[CASE WHEN regexp_matches(t, '[0-9]') THEN '{WILDCARD}' ELSE t END "
+    r"FOR t IN regexp_extract_all(raw, '[^\x20\x09-\x0D]+')]"
+)
+
+OP1_SQL = f"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+),
+cut AS (SELECT doc_id, line_no, {_TOKENS_SQL} AS t FROM raw),
+l AS (
+  SELECT doc_id, line_no, t, len(t) AS size, array_to_string(t, ' ') AS line,
+    len([x FOR x IN t IF x <> '{WILDCARD}']) AS constant,
+    {LEADING} + (len(t) - {LEADING} + 1) // 2 AS middle
+  FROM cut WHERE len(t) > 0
+),
+repeated AS (
+  SELECT line, min(doc_id * 10000000 + line_no) AS first FROM l WHERE constant > 0 GROUP BY line
+  HAVING count(DISTINCT doc_id) >= CASE WHEN any_value(size) < {SHORT_TOKENS} THEN {SHORT_MIN_DOCS} ELSE {MIN_DOCS} END
+),
+halves AS (
+  SELECT *, concat_ws('|', 1, size, array_to_string(t[1:{LEADING}], ' '), array_to_string(t[{LEADING} + 1:middle], ' ')) AS half
+  FROM l WHERE size - {LEADING} > 1
+  UNION ALL
+  SELECT *, concat_ws('|', 2, size, array_to_string(t[1:{LEADING}], ' '), array_to_string(t[middle + 1:size], ' ')) AS half
+  FROM l WHERE size - {LEADING} > 1
+),
+groups AS (
+  SELECT half, min(doc_id * 10000000 + line_no) AS first FROM halves GROUP BY half
+  HAVING count(DISTINCT line) > 1 AND count(DISTINCT doc_id) >= {MIN_TEMPLATE_DOCS}
+),
+positions AS (
+  SELECT half, size, pos, count(DISTINCT token) = 1 AND min(token) <> '{WILDCARD}' AS same
+  FROM (SELECT half, size, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM halves SEMI JOIN groups USING (half))
+  GROUP BY half, size, pos
+),
+valid AS (
+  SELECT half FROM positions GROUP BY half, size
+  HAVING count_if(same) >= {MIN_CONSTANT} AND count_if(same) >= {MIN_CONSTANT_SHARE} * size
+),
+gone AS (
+  SELECT doc_id, line_no FROM l JOIN repeated USING (line) WHERE doc_id * 10000000 + line_no <> first
+  UNION
+  SELECT doc_id, line_no FROM halves JOIN groups USING (half) SEMI JOIN valid USING (half)
+  WHERE doc_id * 10000000 + line_no <> first
+),
+told AS (
+  SELECT doc_id, count(gone.line_no) AS n, string_agg(CAST(gone.line_no AS VARCHAR), ',' ORDER BY gone.line_no) AS numbers,
+    string_agg(CASE WHEN gone.line_no IS NULL THEN raw END, chr(10) ORDER BY raw.line_no) AS kept
+  FROM raw LEFT JOIN gone USING (doc_id, line_no) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_dropped, coalesce(numbers, '') AS dropped_lines,
+  CASE WHEN n > 0 THEN coalesce(kept, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id
+"""
