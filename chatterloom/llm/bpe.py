@@ -30,7 +30,7 @@ from chatterloom.llm.common import read_table, rows_of, prepare
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Distinct pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED_PIECES = 500_000
+REMEMBERED_PIECES = 150_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: What follows an apostrophe to make a pre-token of its own (fixed values).

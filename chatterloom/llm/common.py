@@ -14,7 +14,7 @@ from chatterloom.sources.shipping import ship_package
 from chatterloom.sources.staging import StagingArea
 
 #: Distinct words whose hashes a worker remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
 #: Rows that go to a Python worker at once, so that batches of long texts stay small.
 BATCH_ROWS = 1_000
 #: Odd multipliers that make the hash of a window depend on the order of its words (fixed values).

@@ -36,7 +36,7 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-7
 MAX_LETTERS = 32
 #: Scores of distinct words, one per language, that a worker remembers; the memory is emptied when full.
-REMEMBERED_SCORES = 2_000_000
+REMEMBERED_SCORES = 1_000_000
 #: Words times languages that are scored at once.
 SCORED_AT_ONCE = 32_768
 UNDETERMINED = "und"
