@@ -2,10 +2,10 @@
 
 A line is cut into tokens, and tokens with a digit become a wildcard. The tree has a fixed depth: a leaf
 is the number of tokens and the first LEADING tokens. Inside a leaf, lines that also agree on one half of
-the remaining tokens form a group, and the positions at which the lines of a group differ become wildcards
-too: that is the group's template. It counts if enough of it is constant. A template, or a line as it
-stands, that recurs in enough documents is repeated text: the first document that has it keeps its
-first line of it, all other lines of it are dropped.
+the remaining tokens form a group. Its template has the tokens that most of its different lines have at a
+position, and wildcards elsewhere; it counts if enough of it is constant. Lines that do not agree with enough
+of it are no part of it. A template, or a line as it stands, that recurs in enough documents is repeated
+text: the first document that has it keeps its first line of it, all other lines of it are dropped.
 
 Every step is a grouped sum, minimum or maximum over hashes, combined before the shuffle, so a template
 that is in a third of all lines is no burden to any task. Lines themselves are never shuffled.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from chatterloom.llm.common import (
     area_for, as_bytes, bitmap_of, fresh_name, perhaps_in, prepare, read_table, rows_of, word_hashes,
 )
+from chatterloom.operators.joins import lookup_join
 from chatterloom.sources.staging import StagingArea
 
 #: Leading tokens that select a leaf, besides the number of tokens.
@@ -37,6 +38,8 @@ LEADING = 3
 MIN_DOCS, SHORT_TOKENS, SHORT_MIN_DOCS = 2, 8, 10
 #: Documents, constant tokens and share of constant tokens of a template with fields found by comparison.
 MIN_TEMPLATE_DOCS, MIN_CONSTANT, MIN_CONSTANT_SHARE = 3, 8, 0.6
+#: Templates up to which they are broadcast.
+SHAPE_ROWS = 5_000
 WILDCARD = "<*>"
 _DIGIT = re.compile(rb"[0-9]").search
 _FIELD = WILDCARD.encode()
@@ -193,13 +196,19 @@ def line_ledger(
     few = perhaps_in(_tokens(texts), bitmap_of(varied, "line"), "line")
     tokens = few.join(varied.select("line", "check").distinct(), ["line", "check"]).dropDuplicates(["line", "check"])
     spread = wanted.drop("low").join(area.stage(tokens, "tokens"), ["line", "check"])
-    positions = spread.select("half", F.posexplode("tokens").alias("at", "token")).groupBy("half", "at").agg(
-        (F.min("token") == F.max("token")).alias("same"), (F.first("token") == int(_FIELD_HASH.view(np.int64))).alias("wild")
+    # The token of a position is the one that more than half of the lines have there: a few lines that only
+    # look like the others do not take it away.
+    held = spread.select("half", F.posexplode("tokens").alias("at", "token")).groupBy("half", "at", "token").agg(F.count(F.lit(1)).alias("n"))
+    positions = held.groupBy("half", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("lines"))
+    constant = (2 * F.col("most.n") > F.col("lines")) & (F.col("most.token") != int(_FIELD_HASH.view(np.int64)))
+    shape = area.stage(positions.groupBy("half").agg(
+        F.greatest(F.lit(MIN_CONSTANT), MIN_CONSTANT_SHARE * F.count(F.lit(1))).alias("least"),
+        F.collect_list(F.when(constant, F.struct("at", F.col("most.token").alias("token")))).alias("shape"),
+    ).where(F.size("shape") >= F.col("least")), "shapes")
+    agreeing = F.size(F.filter("shape", lambda c: F.get(F.col("tokens"), c["at"]) == c["token"]))
+    valid = area.stage(
+        lookup_join(spread, shape, ["half"], "inner", SHAPE_ROWS, ["line"]).where(agreeing >= F.col("least")).select("half", "line", "check"), "valid"
     )
-    shape = positions.groupBy("half").agg(
-        F.count(F.lit(1)).alias("size"), F.count_if(F.col("same") & ~F.col("wild")).alias("constant")
-    ).where((F.col("constant") >= MIN_CONSTANT) & (F.col("constant") >= MIN_CONSTANT_SHARE * F.col("size"))).select("half")
-    valid = area.stage(wanted.drop("low").join(shape, "half", "left_semi"), "valid")
     # Documents per template, from the lines of its members.
     of_template = placed.select("line", "check", "key", "line_no").join(valid, ["line", "check"])
     template_docs = of_template.select("half", "key").distinct().groupBy("half").agg(F.count(F.lit(1)).alias("docs"))

@@ -204,6 +204,16 @@ def test_lines_of_odd_tables(spark):
     assert sorted(row.text for row in lines.without_repeats(df).collect()) == [line] * 4
 
 
+def test_a_line_unlike_the_others_does_not_hide_their_template(spark):
+    """Both have the opening of the notice, and one has nothing else in common with it."""
+    start = "This notice was put up by the board of the house so that all who live here know"
+    end = "when the water will be turned off by {} some day of this week"
+    texts = [f"{start} {end.format(name)}" for name in ("ann", "bob", "cyd", "dora", "eve")]
+    other = start + " " + " ".join(f"other{chr(97 + i)}" for i in range(len(end.split())))
+    found = lines.line_ledger(docs_of(spark, [*texts, other])).collect()
+    assert {(row.doc_id, row.line_no) for row in found} == {(i, 0) for i in range(1, len(texts))}
+
+
 # --- search ------------------------------------------------------------------------------------
 
 
