@@ -5,7 +5,8 @@ is the number of tokens and the first LEADING tokens. Inside a leaf, lines that
 the remaining tokens form a group. Its template has the tokens that most of its different lines have at a
 position, and wildcards elsewhere; it counts if enough of it is constant. Lines that do not agree with enough
 of it are no part of it. A template, or a line as it stands, that recurs in enough documents is repeated
-text: the first document that has it keeps its first line of it, all other lines of it are dropped.
+text: the first document that has it keeps its first line of it, all other lines of it are dropped. Lines
+with digits that agree but for these are held to what a template is; those with the same digits are not.
 
 Every step is a grouped sum, minimum or maximum over hashes, combined before the shuffle, so a template
 that is in a third of all lines is no burden to any task. Lines themselves are never shuffled.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +61,15 @@ class Lines:
     """The lines with tokens of several texts: hashes in place of tokens.
 
     `place` is the text of a line, `number` its number there, `size` its tokens, `constant` those that are
-    no wildcard, `line` and `check` hash all tokens, `left` and `right` the leaf and one half of the rest,
+    no wildcard, `line` and `check` hash all tokens, `raw` does so for lines with digits as they stand and is
+    null for others, `left` and `right` the leaf and one half of the rest,
     `tokens` the hash of each token. Fields become wildcards before anything is hashed.
     """
 
     def __init__(self, texts: list[bytes | None]):
         flat: list[bytes] = []
         place, number, size = [], [], []
+        raw: list[int | None] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -74,12 +78,14 @@ class Lines:
                 held = line.split()
                 if held:
                     flat += held
+                    raw.append(xxhash.xxh3_64_intdigest(b" ".join(held)) if _DIGIT(line) else None)
                     place.append(i)
                     number.append(n)
                     size.append(len(held))
             if _DIGIT(text):
                 flat[start:] = [_FIELD if _DIGIT(token) else token for token in flat[start:]]
         self.place, self.number, self.size = (np.array(values, np.int64) for values in (place, number, size))
+        self.raw = pa.array(raw, pa.uint64()).view(pa.int64())
         self.tokens = word_hashes(flat)
         self.starts = np.cumsum(self.size) - self.size
         if not len(self.size):
@@ -122,14 +128,14 @@ def _placed(keyed: DataFrame) -> DataFrame:
                     batch.column(0).take(pa.array(found.place)), pa.array(found.number, pa.int32()),
                     pa.array(found.size, pa.int32()), pa.array(found.constant, pa.int32()),
                     pa.array(found.line.view(np.int64)), pa.array(found.check.view(np.int64)),
-                    found.halves(found.left), found.halves(found.right),
+                    found.halves(found.left), found.halves(found.right), found.raw,
                 ],
-                names=["key", "line_no", "size", "constant", "line", "check", "left", "right"],
+                names=["key", "line_no", "size", "constant", "line", "check", "left", "right", "raw"],
             )
 
     kind = keyed.schema["key"].dataType.simpleString()
     return keyed.mapInArrow(
-        run, f"key {kind}, line_no int, size int, constant int, line bigint, check bigint, left bigint, right bigint"
+        run, f"key {kind}, line_no int, size int, constant int, line bigint, check bigint, left bigint, right bigint, raw bigint"
     )
 
 
@@ -176,10 +182,22 @@ def line_ledger(
     docs = placed.join(recurring, ["line", "check"], "left_semi").select("line", "check", "key").distinct()
     counts = docs.groupBy("line", "check").agg(F.count(F.lit(1)).alias("docs"))
     enough = F.when(F.col("size") < SHORT_TOKENS, SHORT_MIN_DOCS).otherwise(MIN_DOCS)
-    repeated = (
-        per_line.join(counts, ["line", "check"]).where((F.col("docs") >= enough) & (F.col("constant") > 0))
-        .select("line", "check", F.col("first.key").alias("first_key"), F.col("first.line_no").alias("first_no"))
+    least = F.greatest(F.lit(MIN_CONSTANT), MIN_CONSTANT_SHARE * F.col("size"))
+    told = F.when(F.col("constant") == F.col("size"), F.col("docs") >= enough).otherwise(
+        (F.col("docs") >= MIN_TEMPLATE_DOCS) & (F.col("constant") >= least)
     )
+    first = (F.col("first.key").alias("first_key"), F.col("first.line_no").alias("first_no"))
+    repeated = per_line.join(counts, ["line", "check"]).where(told).select("line", "check", *first)
+    # Of lines with digits, those that are the same with them; only what recurs without them can.
+    digits = placed.where("raw IS NOT NULL AND constant > 0").select("line", "check", "raw", "key", "line_no", "size")
+    same = ["line", "check", "raw"]
+    per_raw = digits.join(recurring, ["line", "check"], "left_semi").groupBy(*same).agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), _first().alias("first"), F.first("size").alias("size")
+    ).where("low <> high")
+    per_raw = area.stage(per_raw, "digits")
+    raw_docs = digits.join(per_raw.select(*same), same, "left_semi").select(*same, "key").distinct()
+    raw_counts = raw_docs.groupBy(*same).agg(F.count(F.lit(1)).alias("docs"))
+    repeated_raw = area.stage(per_raw.join(raw_counts, same).where(F.col("docs") >= enough).select(*same, *first), "raw-rules")
 
     # Templates: groups of different lines that agree on leaf and half.
     halves = per_line.select(
@@ -220,7 +238,9 @@ def line_ledger(
 
     # A line is dropped if it is not the first of some template it belongs to.
     rules = area.stage(repeated.unionByName(by_template).distinct(), "rules")
-    hit = placed.select("line", "check", "key", "line_no").join(rules, ["line", "check"])
+    hit = placed.select("line", "check", "key", "line_no").join(rules, ["line", "check"]).unionByName(
+        digits.select(*same, "key", "line_no").join(repeated_raw, same).drop("raw")
+    )
     later = ~((F.col("key") == F.col("first_key")) & (F.col("line_no") == F.col("first_no")))
     return hit.where(later).select(F.col("key").alias(key), "line_no").distinct()
 

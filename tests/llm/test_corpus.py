@@ -204,6 +204,17 @@ def test_lines_of_odd_tables(spark):
     assert sorted(row.text for row in lines.without_repeats(df).collect()) == [line] * 4
 
 
+def test_rows_of_numbers_are_no_repeats(spark):
+    """Lines that agree in a word and in where digits stand are not the same line, unless the digits are."""
+    notice = "page {} of the rules that all who post in this forum have to read"
+    texts = [
+        "Total 12 15 18 22 30 31 44", "Total 9 8 7 6 5 4 3\n" + notice.format(1), "Total 9 8 7 6 5 4 3\n" + notice.format(2),
+        "Total 1 1 1 1 1 1 2\n" + notice.format(3),
+    ]
+    found = lines.line_ledger(docs_of(spark, texts)).collect()
+    assert {(row.doc_id, row.line_no) for row in found} == {(2, 0), (2, 1), (3, 1)}
+
+
 def test_a_line_unlike_the_others_does_not_hide_their_template(spark):
     """Both have the opening of the notice, and one has nothing else in common with it."""
     start = "This notice was put up by the board of the house so that all who live here know"
