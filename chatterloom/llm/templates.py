@@ -6,8 +6,8 @@ equivalence class. Vectors are not stored: they are compared by their number of
 hashes of (page, count), which are combined before the shuffle, so a host with a third of all pages is no
 burden. Large and frequent classes whose tokens keep their order are nested into the host's template:
 a class is valid if all of it lies in one gap of the classes above it. On a page, what stands between
-template tokens are the slots. Text that is part of the template is no content; the article is looked for
-in the remaining slots: in article elements, else in a main element, else in the slot with most words.
+template tokens are the slots. Text that is part of the template is no content; the article is what is left
+in article elements, else in main elements, else on the page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are told by element, role and the
 words of class and id, so pages of hosts too small for a template are read as well.
@@ -113,7 +113,7 @@ class _Element:
     path: int
     boilerplate: bool
     article: int  # number of the outermost article or 0
-    main: int  # number of the innermost main element or 0
+    main: int  # number of the outermost main element or 0
 
 
 @dataclass(slots=True)
@@ -151,7 +151,7 @@ def _open(stack: list[_Element], tag: str, attrs: str, number: int) -> _Element:
         boilerplate = True
     path = _hash(above.path, tag, label) if tag in BLOCK else above.path
     article = above.article or (number if tag == "article" and not (boilerplate or above.boilerplate) else 0)
-    element = _Element(tag, path, above.boilerplate or boilerplate, article, number if main else above.main)
+    element = _Element(tag, path, above.boilerplate or boilerplate, article, above.main or (number if main else 0))
     stack.append(element)
     return element
 
@@ -260,33 +260,10 @@ class Template:
 def main_text(page: Page, template: Template | None) -> str:
     """The article of a page: its runs of text joined by blank lines."""
     slots = template.slots(page) if template else {}
-    slot_of: list[int] = []
-    current = -1
-    for place in range(len(page.tokens)):
-        current = slots.get(place, current)
-        slot_of.append(current)
     runs = [run for run in page.runs if not run.boilerplate]
-    size = lambda part: sum(len(run.text) for run in part)
-
-    def largest(number) -> list[Run]:
-        """Runs of the parts that a number tells apart, of those at least a third as long as the longest."""
-        parts: dict[int, list[Run]] = {}
-        for run in runs:
-            if number(run):
-                parts.setdefault(number(run), []).append(run)
-        longest = max(map(size, parts.values()), default=0)
-        return [run for run in runs if number(run) and 3 * size(parts[number(run)]) >= longest]
-
-    chosen = largest(lambda run: run.article) or largest(lambda run: run.main)
-    content = [run for run in chosen or runs if slots.get(run.at) is None]
-    if not content:
-        content = chosen or runs  # every run recurs: copies of one page, not a template
-    elif not chosen and slots:
-        by_slot: Counter[int] = Counter()
-        for run in content:
-            by_slot[slot_of[run.at]] += len(run.text)
-        best = by_slot.most_common(1)[0][0]
-        content = [run for run in content if slot_of[run.at] == best]
+    chosen = [run for run in runs if run.article] or [run for run in runs if run.main] or runs
+    # If every run recurs, these are copies of one page, not a template.
+    content = [run for run in chosen if slots.get(run.at) is None] or chosen
     return "\n\n".join(run.text for run in content)
 
 

@@ -430,6 +430,20 @@ def test_article_without_its_surroundings(spark):
     assert templates.extract(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_all_parts_of_an_article_are_kept(spark):
+    """Parts split by tags that every page has, second articles, and a title beside the inner element of the text."""
+    body, rows, want = "words of the body " * 30, [], {}
+    for i in range(4):
+        marked = f"<div><h1>Title {i}</h1><div class=x><p>{body}{i}</p></div><h2>More {i}</h2><p>Short end {i}</p></div>"
+        rows.append((i, f"http://split.example/{i}", f"<html><body><p>Our site</p>{marked}</body></html>"))
+        want[i] = f"Title {i}\n\n{body}{i}\n\nMore {i}\n\nShort end {i}"
+    rows.append((10, "http://a.example/", f"<body><article><p>{body}</p></article><article><p>Update.</p></article></body>"))
+    rows.append((11, "http://b.example/", f"<body><main><h1>Head</h1><p>Lead.</p><div class=content><p>{body}</p></div></main></body>"))
+    want |= {10: f"{body.strip()}\n\nUpdate.", 11: f"Head\n\nLead.\n\n{body.strip()}"}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {row.page_id: row.text for row in templates.extract(df).collect()} == want
+
+
 def test_broken_markup_is_read_to_the_end():
     for source in ("<p", "<p class='x", "<!-- never closed <p>a", "</p></div>text", "<script>x", "a<b<c", "<p>" * 3000 + "deep", "<div>" * 3000 + "deep", "<>" * 50):
         templates.main_text(templates.parse(source), None)
