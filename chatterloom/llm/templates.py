@@ -1,10 +1,10 @@
 """Main text of web pages, with templates deduced from the pages of a host.
 
-Tokens of a page are its block tags, told apart by their path, and its short runs of text. Tokens with the
+Tokens of a page are its block tags, told apart by their path, and its runs of text. Tokens with the
 same occurrence vector over the pages of a host, the number of times they occur on each page, form an
 equivalence class. Vectors are not stored: they are compared by their number of pages and two sums of
 hashes of (page, count), which are combined before the shuffle, so a host with a third of all pages is no
-burden. Large and frequent classes whose tokens keep their order are nested into the host's template:
+burden. Copies of a page count once. Large and frequent classes whose tokens keep their order are nested into the host's template:
 a class is valid if all of it lies in one gap of the classes above it. On a page, what stands between
 template tokens are the slots. Text that is part of the template is no content; the article is what is left
 in article elements, else in main elements, else on the page.
@@ -35,8 +35,6 @@ from chatterloom.sources.staging import StagingArea
 
 #: A class is frequent on at least so many pages and this share of its host's, and large from so many tokens.
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.5, 3
-#: Longer runs of text are never part of a template.
-TEMPLATE_WORDS = 20
 #: Template tokens of all hosts up to which they are broadcast; beyond, pages are joined by host and salt.
 BROADCAST_TOKENS, SALTS = 200_000, 32
 
@@ -281,8 +279,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             sums: dict[tuple[str, int], list] = {}
             for host, key, source in zip(*(column.to_pylist() for column in batch.columns)):
                 page = parse(source or "")
-                long = {run.token for run in page.runs if run.text.count(" ") >= TEMPLATE_WORDS}
-                counts = Counter(token for token in page.tokens if token not in long)
+                counts = Counter(page.tokens)
                 first: dict[int, int] = {}
                 for place, token in enumerate(page.tokens):
                     first.setdefault(token, place)
@@ -311,11 +308,22 @@ def occurrences(pages: DataFrame) -> DataFrame:
     )
 
 
+def _copies(pages: DataFrame, area: StagingArea) -> DataFrame:
+    """`(host, page_id)` of the pages whose html another page of the host has too, of which one is left out."""
+    each = pages.where("page_id IS NOT NULL").select("host", "page_id", F.md5("html").alias("digest"))
+    each = area.stage(each, "digests")
+    first = each.groupBy("host", "digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last")
+    return area.stage(
+        each.join(first, ["host", "digest"]).where("page_id <> first").select("host", "page_id").distinct(), "copies"
+    )
+
+
 def deduced(pages: DataFrame, area: StagingArea) -> DataFrame:
     """`(host, template)`: arrays of (token, class, pages, position), of hosts that have any.
 
     A template token is on at least MIN_SHARE of the pages, so an array is no longer than a page.
     """
+    pages = pages.join(_copies(pages, area), ["host", "page_id"], "left_anti").select("host", "page_id", "html")
     vectors = area.stage(occurrences(pages).where(F.col("pages") >= MIN_PAGES), "vectors")
     hosts = vectors.where("token = 0").select("host", F.col("pages").alias("all_pages"))
     frequent = vectors.where("token <> 0").join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages"))
@@ -338,7 +346,7 @@ def extract(
         F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"),
         host_of(F.col(url)).alias("host"),
     )
-    templates = deduced(pages.where("host IS NOT NULL").select("host", F.col("key").cast("string"), "html"), area)
+    templates = deduced(pages.where("host IS NOT NULL").select("host", F.col("key").cast("string").alias("page_id"), "html"), area)
     tokens = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
     if tokens <= BROADCAST_TOKENS:
         joined = pages.join(F.broadcast(templates), "host", "left")

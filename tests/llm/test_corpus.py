@@ -444,6 +444,21 @@ def test_all_parts_of_an_article_are_kept(spark):
     assert {row.page_id: row.text for row in templates.extract(df).collect()} == want
 
 
+def test_copies_are_no_template_and_long_notices_are(spark):
+    body = "words of the body " * 30
+    page = "<body><article><p>{0}</p><p>Lead of {0}.</p><p>{1}</p><p>End of {0}.</p></article></body>"
+    rows = [(i, f"http://copies.example/{i}", page.format("one", body)) for i in range(5)]
+    rows += [(i, f"http://copies.example/{i}", page.format(f"other {i}", body + str(i))) for i in range(5, 9)]
+    want = {i: f"one\n\nLead of one.\n\n{body.strip()}\n\nEnd of one." for i in range(5)}
+    want |= {i: f"other {i}\n\nLead of other {i}.\n\n{body}{i}\n\nEnd of other {i}." for i in range(5, 9)}
+    notice = "this site is run by people who like it and all that is said here is their own view and of nobody else at all"
+    for i in range(20, 24):
+        rows.append((i, f"http://notice.example/{i}", f"<body><div><p>Text number {i}</p></div><div class=x><p>{notice}</p></div></body>"))
+        want[i] = f"Text number {i}"
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {row.page_id: row.text for row in templates.extract(df).collect()} == want
+
+
 def test_broken_markup_is_read_to_the_end():
     for source in ("<p", "<p class='x", "<!-- never closed <p>a", "</p></div>text", "<script>x", "a<b<c", "<p>" * 3000 + "deep", "<div>" * 3000 + "deep", "<>" * 50):
         templates.main_text(templates.parse(source), None)
