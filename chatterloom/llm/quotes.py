@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import area_for, read_table
+from chatterloom.operators.joins import lookup_join
 from chatterloom.sources.staging import StagingArea
 
-#: Passages of fewer letters and digits say too little to be linked.
+#: Passages of fewer letters and digits say too little to be linked to another conversation.
 MIN_PASSAGE = 12
 #: Rounds after which a chain of quotes has surely been followed: each doubles its length.
 MAX_DOUBLINGS = 40
@@ -65,7 +66,7 @@ def _run_starts(parsed: str) -> Column:
 
 
 def parse(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `own`, the text without quotes, and `passages`, an array of (level, digest)."""
+    """Adds `own`, the text without quotes, and `passages` and `short`, arrays of (level, digest)."""
     # Every step is a column of its own behind a generator, so that no array is computed anew per element.
     def step(df: DataFrame, name: str, value: Column) -> DataFrame:
         return df.withColumn(name, F.explode(F.array(value)))
@@ -108,26 +109,39 @@ def parse(messages: DataFrame, text: str = "text") -> DataFrame:
         lambda passage: F.struct(passage["level"].alias("level"), normalised(passage["body"]).alias("plain")),
     )
     df = step(df, "_keyed", keyed)
-    told = F.filter(F.col("_keyed"), lambda p: F.length(p["plain"]) >= MIN_PASSAGE)
-    digests = F.array_distinct(F.transform(told, lambda p: F.struct(p["level"].alias("level"), F.md5(p["plain"]).alias("digest"))))
-    return step(df, "passages", digests).drop("_lines", "_starts", "_runs", "_bodies", "_keyed")
+
+    def digests(told: Column) -> Column:
+        return F.array_distinct(F.transform(told, lambda p: F.struct(p["level"].alias("level"), F.md5(p["plain"]).alias("digest"))))
+
+    df = step(df, "passages", digests(F.filter(F.col("_keyed"), lambda p: F.length(p["plain"]) >= MIN_PASSAGE)))
+    short = F.filter(F.col("_keyed"), lambda p: (p["plain"] != "") & (F.length(p["plain"]) < MIN_PASSAGE))
+    return step(df, "short", digests(short)).drop("_lines", "_starts", "_runs", "_bodies", "_keyed")
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """`(conv_id, turn, level, digest, to_conv, to_turn)`: the original of every quoted passage that has one.
 
     The original is the first message that says the passage itself: per conversation if it is before the
-    quote, otherwise in all conversations. Quoted and original passages meet per digest, one row each.
+    quote, otherwise in all other conversations, unless the passage is short. Quoted and original passages meet per digest, one row each.
     """
-    each = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.digest")
-    said = each.where("level = 0").groupBy("digest", "conv_id").agg(F.min("turn").alias("to_turn"))
-    anywhere = said.groupBy("digest").agg(F.min(F.struct("conv_id", "to_turn")).alias("first"))
+    long = F.transform("passages", lambda p: F.struct(p["level"].alias("level"), p["digest"].alias("digest"), F.lit(True).alias("long")))
+    short = F.transform("short", lambda p: F.struct(p["level"].alias("level"), p["digest"].alias("digest"), F.lit(False).alias("long")))
+    each = parsed.select("conv_id", "turn", F.explode(F.concat(long, short)).alias("p")).select("conv_id", "turn", "p.level", "p.digest", "p.long")
+    said = each.where("level = 0").groupBy("digest", "conv_id").agg(F.min("turn").alias("to_turn"), F.first("long").alias("long"))
+    away = said.where("long").select("digest", "conv_id", "to_turn")
+    first = away.groupBy("digest").agg(F.min(F.struct("conv_id", "to_turn")).alias("first"))
+    # The quoter's own conversation is passed over: for it there is the first message of any other.
+    others = lookup_join(away, first, ["digest"], "inner").where(F.col("conv_id") != F.col("first.conv_id"))
+    second = others.groupBy("digest").agg(F.min(F.struct("conv_id", "to_turn")).alias("second"))
+    anywhere = first.join(second, "digest", "left")
     quoted = each.where("level > 0").distinct()
     here = quoted.join(said, ["digest", "conv_id"], "left").withColumn(
         "to_turn", F.when(F.col("to_turn") < F.col("turn"), F.col("to_turn"))
     )
-    found = here.join(anywhere, "digest", "left")
-    elsewhere = F.col("to_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id"))
+    found = here.join(anywhere, "digest", "left").withColumn(
+        "first", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    )
+    elsewhere = F.col("to_turn").isNull() & F.col("first").isNotNull()
     return found.select(
         "conv_id", "turn", "level", "digest",
         F.when(F.col("to_turn").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("to_conv"),

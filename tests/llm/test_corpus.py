@@ -352,6 +352,18 @@ def test_quotes_are_linked_and_removed(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_quotes_and_originals_elsewhere_are_linked(spark):
+    rows = [
+        (1, 0, "user", "Yes, go on"), (1, 1, "user", "Something else"), (1, 2, "assistant", "> Yes, go on\nI will."),
+        (2, 0, "user", "> Yes, go on\nA short one is not looked for elsewhere."),
+        (3, 0, "user", "> The parcel is on its way to you\nIs it?"), (3, 1, "user", "The parcel is on its way to you"),
+        (4, 0, "user", "The parcel is on its way to you"),
+    ]
+    found = quotes.conversations(spark.createDataFrame([(*row, "clash") for row in rows], MESSAGES)).collect()
+    told = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in found if r.reply_conv is not None}
+    assert told == {(1, 2): (1, 0), (3, 0): (4, 0)}
+
+
 def plain_passages(text):
     found, run, level = [], [], None
     own = []
