@@ -76,10 +76,10 @@ def merge_qa_strict(spark, sf_dir):
     )
 
 
-@query("unified_column", f"WITH {_QA_SQL} SELECT conv_id, question AS conversation FROM qa")
+@query("unified_column", "SELECT doc_id AS conv_id, text AS conversation FROM documents")
 def unified_column(spark, sf_dir):
-    df = _question_answer_table(spark, sf_dir)
-    return assemble.corpus(assemble.conversations(df, column="question"))
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text")
+    return assemble.corpus(assemble.conversations(df, column="text"))
 
 
 _ASSEMBLED_SQL = """
