@@ -104,6 +104,18 @@ def perhaps_in(df: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn(part, F.bitmap_bucket_number(place)).join(named, part).where(held == 1).select(*df.columns)
 
 
+def marked_by(df: DataFrame, bitmap: DataFrame, mark: str, column: str) -> DataFrame:
+    """`df` with a column that tells whether the hashed key is in the bitmap; false where the key is null."""
+    place = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    part, bits = fresh_name(df, "_part"), fresh_name(df, "_bits")
+    named = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(bits)))
+    position = F.bitmap_bit_position(place)
+    byte = F.substring(F.col(bits), F.floor(position / 8).cast("int") + 1, F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int")) == 1
+    joined = df.withColumn(part, F.bitmap_bucket_number(place)).join(named, part, "left")
+    return joined.withColumn(mark, F.col(column).isNotNull() & F.coalesce(held, F.lit(False))).drop(part, bits)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, quotes, templates, topk
+from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, quotes, substrings, templates, topk
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quotes": quotes.op9_quotes,
     "op10_langid": langid.op10_langid,
+    "op11_substrings": substrings.op11_substrings,
 }
 
 #: Operators that SQL cannot express have none: they are tested against brute force.
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_topk": topk.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_quality": quality.OP7_SQL,
+    "op11_substrings": substrings.OP11_SQL,
 }
