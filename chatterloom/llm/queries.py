@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL that must agree with them."""
 
-from chatterloom.llm import bpe, credentials, langid, lines, minhash, mixing, quality, quotes, substrings, templates, topk, variants
+from chatterloom.llm import alignment, bpe, credentials, langid, lines, minhash, mixing, quality, quotes, substrings, templates, topk, variants
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quotes": quotes.op9_quotes,
     "op10_langid": langid.op10_langid,
     "op11_substrings": substrings.op11_substrings,
+    "op12_alignment": alignment.op12_alignment,
     "op13_variants": variants.op13_variants,
 }
 
