@@ -12,7 +12,7 @@ from chatterloom.catalog.registry import documents, normalized, query, table
 from chatterloom.catalog.reports import text_scorer
 from chatterloom.catalog.texts import assembled
 from chatterloom.config import Settings
-from chatterloom.operators import clusters, coherence, normalize, phrases, topics, vocabulary
+from chatterloom.operators import clusters, coherence, density, normalize, phrases, topics, vocabulary
 from chatterloom.plans.analysis import ConversationAnalysis
 from chatterloom.sources.staging import StagingArea
 
@@ -138,6 +138,24 @@ def cluster_topics(spark, sf_dir):
     )
 
 
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of at least 100 embedded documents, however many there are, and outliers."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    return density.density_clusters(vectors, min_size=100)
+
+
+@query("density_clusters")
+def density_clusters(spark, sf_dir):
+    return _dense(spark, sf_dir).select("conv_id", "cluster")
+
+
+@query("density_topics")
+def density_topics(spark, sf_dir):
+    """Every document, with the topic of its cluster."""
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"))
+    return clusters.cluster_topics(corpus, _dense(spark, sf_dir)).select("conv_id", "topic")
+
+
 @query(
     "vector_coverage",
     """SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM embeddings) AS n_vectors,
