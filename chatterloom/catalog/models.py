@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from chatterloom.catalog.registry import documents, normalized, query, table
 from chatterloom.catalog.reports import text_scorer
 from chatterloom.catalog.texts import assembled
-from chatterloom.config import Settings
+from chatterloom.config import WIDE_SWEEP, Settings
 from chatterloom.operators import clusters, coherence, density, normalize, phrases, topics, vocabulary
 from chatterloom.plans.analysis import ConversationAnalysis
 from chatterloom.sources.staging import StagingArea
 
-#: A short range of topic counts with the whole training schedule.
+#: A short range of topic counts with the whole training schedule, for single models and the whole report.
 SHORT_SWEEP = Settings(start_topics=3, end_topics=5)
 #: Updates of the second model, each over the whole corpus.
 NGRAM_UPDATES = 100
@@ -48,11 +48,13 @@ def _fitted(spark: SparkSession, sf_dir: str, k: int = 4):
 
 @query("lda_fit")
 def lda_fit(spark, sf_dir):
+    """The learned priors: of each topic in documents, and the range of those of the terms."""
     _corpus, features, model = _fitted(spark, sf_dir)
     features.unpersist()
-    prior = [float(value) for value in model.model.estimatedDocConcentration().toArray()]
+    low, high = float(model.term_prior.min()), float(model.term_prior.max())
     return spark.createDataFrame(
-        [(topic, alpha) for topic, alpha in enumerate(prior, start=1)], "topic int, doc_prior double"
+        [(topic, float(alpha), low, high) for topic, alpha in enumerate(model.doc_prior, start=1)],
+        "topic int, doc_prior double, least_term_prior double, greatest_term_prior double",
     )
 
 
@@ -66,7 +68,9 @@ def topic_terms(spark, sf_dir):
 @query("dominant_topic")
 def dominant_topic(spark, sf_dir):
     _corpus, features, model = _fitted(spark, sf_dir)
-    return topics.dominant_topics(model, features)
+    found = StagingArea(spark).stage(topics.dominant_topics(model, features), "dominant")
+    features.unpersist()
+    return found
 
 
 @query("top_topics")
@@ -87,7 +91,8 @@ def _sweep(spark: SparkSession, sf_dir: str, settings: Settings, with_bound: boo
 
 @query("lda_sweep")
 def lda_sweep(spark, sf_dir):
-    return _sweep(spark, sf_dir, SHORT_SWEEP, with_bound=False)
+    """5 to 19 topics, as users run it."""
+    return _sweep(spark, sf_dir, WIDE_SWEEP, with_bound=False)
 
 
 @query("lda_sweep_with_bound")

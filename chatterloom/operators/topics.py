@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.config import Settings
-from chatterloom.operators import coherence
+from chatterloom.operators import coherence, variational
+from chatterloom.operators.variational import VariationalModel
+from chatterloom.sources.staging import StagingArea
 
 
 @dataclass(frozen=True)
@@ -36,17 +36,15 @@ class TopicModel:
             )
         ]
 
-    def prior_warning(self) -> str | None:
-        """Set when the learned document prior left its valid range."""
-        alpha = self.model.estimatedDocConcentration().toArray()
-        return None if (alpha > 0).all() else "learned document prior is not positive"
+    def mixtures(self, features: DataFrame, carry: Sequence[str]) -> DataFrame:
+        """`(carried columns, mixture)`: the share of each topic in every document, zeros without known terms."""
+        return self.model.transform(features).select(*carry, vector_to_array("topicDistribution").alias("mixture"))
 
 
 def training_schedule(n_docs: int, settings: Settings) -> tuple[int, float]:
     """`(updates, share of documents per update)`: `passes` visits per document in chunks.
 
-    The rule is the same at every size. Every update scans the corpus once, so for a large corpus
-    choose a larger `chunk_size`.
+    The rule is the same at every size. An update reads its chunk only.
     """
     updates = settings.passes * max(1, math.ceil(n_docs / settings.chunk_size))
     return updates, min(1.0, settings.passes / updates)
@@ -54,18 +52,17 @@ def training_schedule(n_docs: int, settings: Settings) -> tuple[int, float]:
 
 def fit_topics(
     features: DataFrame, terms: Sequence[str], num_topics: int, n_docs: int, settings: Settings,
-    whole_corpus_updates: int | None = None,
-) -> TopicModel:
-    """Fit online LDA with a learned document prior on a persisted frame of `features`.
+    whole_corpus_updates: int | None = None, area: StagingArea | None = None,
+) -> TopicModel | VariationalModel:
+    """Fit an online topic model with learned priors; see `variational`.
 
-    `whole_corpus_updates` trains in that many updates over all documents instead of in chunks.
+    `whole_corpus_updates` trains the library's model instead, in that many updates over all documents.
     """
-    updates, share = training_schedule(n_docs, settings)
-    if whole_corpus_updates is not None:
-        updates, share = whole_corpus_updates, 1.0
+    if whole_corpus_updates is None:
+        return variational.fit_together(features, terms, [num_topics], n_docs, settings, area)[num_topics]
     lda = LDA(
         k=num_topics, featuresCol="features", optimizer="online", seed=settings.seed,
-        maxIter=updates, subsamplingRate=share,
+        maxIter=whole_corpus_updates, subsamplingRate=1.0,
         optimizeDocConcentration=True, learningOffset=1.0, learningDecay=0.5,
     )
     return TopicModel(lda.fit(features), terms, num_topics)
@@ -73,26 +70,15 @@ def fit_topics(
 
 def sweep_topics(
     features: DataFrame, corpus: DataFrame, terms: Sequence[str], n_docs: int, settings: Settings,
-    with_bound: bool = False,
-) -> tuple[dict[int, TopicModel], DataFrame]:
-    """Fit one model per topic count and score all of them in one pass over the corpus.
+    with_bound: bool = False, area: StagingArea | None = None,
+) -> tuple[dict[int, VariationalModel], DataFrame]:
+    """Fit one model per topic count in shared passes and score all of them in one pass over the corpus.
 
     Returns the models by topic count and the table
     `(num_topics, c_v, u_mass, log_perplexity_bound, warning)`. The bound is null unless asked for:
     it infers every document again for each model.
     """
-    counts = settings.topic_counts()
-
-    def fit(k: int) -> TopicModel:
-        return fit_topics(features, terms, k, n_docs, settings)
-
-    pool = ThreadPool(min(settings.parallel_fits, len(counts)))
-    try:
-        fitted = pool.map(inheritable_thread_target(features.sparkSession)(fit), counts)
-    finally:
-        pool.close()
-    models = dict(zip(counts, fitted, strict=True))
-
+    models = variational.fit_together(features, terms, settings.topic_counts(), n_docs, settings, area)
     rows = [
         (k, topic, rank, term)
         for k, model in models.items()
@@ -101,8 +87,7 @@ def sweep_topics(
     scores = coherence.model_coherence(corpus, rows, settings.window)
     notes = features.sparkSession.createDataFrame(
         [
-            # The library's sign is the opposite: higher bound, better model.
-            (k, -model.model.logPerplexity(features) if with_bound else None, model.prior_warning())
+            (k, model.log_bound(features) if with_bound else None, model.prior_warning())
             for k, model in models.items()
         ],
         "model int, log_perplexity_bound double, warning string",
@@ -121,7 +106,7 @@ def sweep_topics(
     return models, table
 
 
-def topic_terms(spark: SparkSession, model: TopicModel, top: int = 20) -> DataFrame:
+def topic_terms(spark: SparkSession, model: TopicModel | VariationalModel, top: int = 20) -> DataFrame:
     """`(topic, rank, term, weight)`, weights rounded to three decimals."""
     return spark.createDataFrame(
         model.term_rows(top), "topic int, rank int, term string, weight double"
@@ -147,15 +132,14 @@ def strongest_entry(vector):
 
 
 def dominant_topics(
-    model: TopicModel, features: DataFrame, carry: Iterable[str] = ("conv_id",)
+    model: TopicModel | VariationalModel, features: DataFrame, carry: Iterable[str] = ("conv_id",)
 ) -> DataFrame:
     """`(carried columns, dominant_topic, contribution_pct)`.
 
     A document without any vocabulary term has no dominant topic: null, with share 0.
     """
-    mixed = model.model.transform(features).select(
-        *carry, vector_to_array("topicDistribution").alias("mixture")
-    )
+    carry = list(carry)
+    mixed = model.mixtures(features, carry)
     topic, share = strongest_entry(F.col("mixture"))
     return mixed.select(
         *carry, topic.alias("dominant_topic"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,22 @@ class StagingArea:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def stage_by(self, df: DataFrame, name: str, column: str) -> Callable[[int], DataFrame]:
+        """Stage with a folder per value of an integer column; the result reads the rows of one value."""
+        path = f"{self._root}/{name}"
+        df.write.partitionBy(column).parquet(path)
+        schema = df.drop(column).schema
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        held = {status.getPath().getName() for status in files.listStatus(folder)}
+
+        def of(value: int) -> DataFrame:
+            if f"{column}={value}" not in held:
+                return self._spark.createDataFrame([], schema)
+            return self._spark.read.schema(schema).parquet(f"{path}/{column}={value}")
+
+        return of
+
     def release(self) -> None:
         path = self._spark._jvm.org.apache.hadoop.fs.Path(self._root)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
