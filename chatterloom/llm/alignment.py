@@ -4,9 +4,10 @@ Two tokenizers cut the same bytes, a blank and then the text. The tokens of both
 maximum of their ends tells where a token starts at or behind all ends before it, and there a group ends. Within
 a group every token of the one is linked to the tokens of the other that its bytes overlap.
 
-Both tokenizers always cut before a single blank or line feed between visible characters, so a text is a sequence
-of pieces that are aligned on their own, all new ones of a batch in one sort; a worker remembers a bounded
-number of them. Whether the vocabularies allow this is seen from them, and else a text is one piece.
+Both tokenizers always cut before a single blank and around a single line feed between visible characters, and before a
+full stop or comma that ends a word, so a text is a sequence of pieces that are aligned on their own, all new ones of a
+batch in one sort. A worker remembers a bounded number of them and keeps the most used. Whether the vocabularies allow
+this is seen from them, and else a text is one piece.
 
 How often two ids are linked in the corpus is counted inside the tasks and then summed. Counts of at most
 TABLE_PAIRS pairs of ids, the most common ones, are sent to all tasks, with the highest count of each id of
@@ -39,6 +40,9 @@ TABLE_PAIRS = 1_000_000
 #: Distinct pieces that a worker remembers, and pairs that a task counts before it hands them on.
 REMEMBERED_PIECES, COUNTED_PAIRS = 200_000, 500_000
 _BLANK = "▁"
+#: A full stop or comma behind one of these letters is a piece of its own.
+_STOPS, _LAST_LETTER = frozenset(".,"), "\u024f"
+_LETTER_AND_STOP = re.compile("[A-Za-z\u00c0-\u024f][.,]")
 #: A single blank or line feed between visible characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: White space that touches another, that is none of the two, or that ends the text.
@@ -68,31 +72,55 @@ class Pair:
             bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(_BLANK, " ").encode() for i, piece in enumerate(pieces)
         ]
         self.a_size, self.b_size = (np.array([len(raw) for raw in held], np.int64) for held in (self.a_bytes, self.b_bytes))
-        # No piece goes on behind a blank or holds a line feed: then both tokenizers cut where pieces do.
-        self.can_cut = not any(_BLANK in piece.lstrip(_BLANK) or "\n" in piece for piece in pieces)
+        # No piece goes on behind a blank, holds a line feed or a stop behind a letter: both tokenizers cut there.
+        self.can_cut = not any(_BLANK in piece.lstrip(_BLANK) or "\n" in piece or _LETTER_AND_STOP.search(piece) for piece in pieces)
+        self.a_shown, self.b_shown = (
+            [np.array([*(f"{i}{mark}" for i in range(len(held))), None], object)[:-1] for mark in (",", "|", ";", "")]
+            for held in (self.a_bytes, self.b_bytes)
+        )
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a blank and `text`, each with the blank or line feed that it starts with."""
+        """The pieces of a blank and `text`, the blank before a word with the word."""
         whole = " " + text
         if not self.can_cut:
             return [whole]
+        found: list[str] = []
         if _IRREGULAR.search(whole):
-            return _CUT.split(whole)
+            for part in _CUT.split(whole):
+                if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
+                    found.append("\n")
+                    part = part[1:]
+                self.add(part, found)
+            return found
         # The common case, without looking around at every place.
-        return [
-            mark + word for mark, line in zip(itertools.chain(" ", itertools.repeat("\n")), text.split("\n"))
-            for mark, word in zip(itertools.chain(mark, itertools.repeat(" ")), line.split(" "))
-        ]
+        for line in whole.split("\n"):
+            if found:
+                found.append("\n")
+            mark = ""
+            for word in (line if found else line[1:]).split(" "):
+                self.add(mark + word if mark or found else " " + word, found)
+                mark = " "
+        return found
+
+    @staticmethod
+    def add(part: str, found: list[str]) -> None:
+        if part[-1] in _STOPS and part[-2:-1].isalpha() and part[-2] <= _LAST_LETTER:
+            found.append(part[:-1])
+            found.append(part[-1])
+        else:
+            found.append(part)
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [found.ids for found in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        # The second tokenizer puts a blank first; before a line feed it is a token of its own, and too many.
-        b = self.b.encode([piece[1:] if piece[0] == " " else piece for piece in pieces], num_threads=1)
-        return a, [ids if piece[0] == " " else ids[1:] for piece, ids in zip(pieces, b)]
+        # The second tokenizer puts a blank first. Where the text has none, a line feed keeps the blank apart.
+        b = self.b.encode([piece[1:] if piece[0] == " " else "\n" + piece for piece in pieces], num_threads=1)
+        return a, [ids if piece[0] == " " else ids[2:] for piece, ids in zip(pieces, b)]
 
-    def same(self, piece: str, a: list[int], b: list[int]) -> bool:
-        raw = piece.encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+    def given_back(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether both tokenizers give back each piece byte for byte."""
+        raw = [piece.encode() for piece in pieces]
+        sides = [[b"".join(map(held.__getitem__, ids)) for ids in side] for side, held in ((a, self.a_bytes), (b, self.b_bytes))]
+        return [x == y == z for x, y, z in zip(raw, *sides)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,32 +149,44 @@ class Aligned:
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self.times_cleared = -1
-        self.clear()
-
-    def clear(self) -> None:
-        self.times_cleared += 1
+        #: How often pieces have been numbered anew.
+        self.renumbered = 0
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         #: Tokens of A, tokens of B, groups, links, and whether the piece is given back byte for byte.
         self.counts = np.zeros((0, 5), np.int64)
         self.codes = np.zeros(0, np.int64)
         self.offsets = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the half of the memory that was used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:REMEMBERED_PIECES // 2])
+        names = list(self.number)
+        self.number = {names[i]: place for place, i in enumerate(keep.tolist())}
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        held = np.zeros(len(self.used), bool)
+        held[keep] = True
+        self.codes = self.codes[np.repeat(held, self.counts[:, 3])]
+        self.counts, self.used = self.counts[keep], self.used[keep] // 2
+        self.offsets = np.append(0, np.cumsum(self.counts[:, 3]))
+        self.renumbered += 1
 
     def places(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of the pieces of each text; none for a text without tokens."""
         if len(self.number) > REMEMBERED_PIECES:
-            self.clear()
+            self.forget()
         cut = [self.pair.pieces(text) if text and _BLANK not in text else [] for text in texts]
         new = list(set().union(*cut).difference(self.number))
         for start in range(0, len(new), 20_000):
             self.learn(new[start:start + 20_000])
         found = [np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)) for pieces in cut]
+        self.used += np.bincount(np.concatenate(found), minlength=len(self.used))
         return [at if self.counts[at, 4].all() else at[:0] for at in found]
 
     def learn(self, pieces: list[str]) -> None:
         a, b = self.pair.encode(pieces)
-        good = [self.pair.same(piece, x, y) for piece, x, y in zip(pieces, a, b)]
+        good = self.pair.given_back(pieces, a, b)
         a, b = ([ids if ok else [] for ids, ok in zip(side, good)] for side in (a, b))
         a_ids, b_ids = (np.fromiter(itertools.chain.from_iterable(side), np.int64) for side in (a, b))
         # Pieces stand one behind the other, so that one sort aligns them all.
@@ -157,20 +197,37 @@ class Aligned:
         a_piece = np.repeat(np.arange(len(pieces)), n_a)
         n_groups = np.bincount(a_piece[np.flatnonzero(np.diff(a_group, prepend=-1))], minlength=len(pieces))
         n_links = np.bincount(a_piece[link_a], minlength=len(pieces))
-        a_text, b_text = self._texts(a_ids, a_group), self._texts(b_ids, b_group)
-        joined = [f"{x}|{y}" for x, y in zip(a_text, b_text)]
-        ends = np.cumsum(n_groups)
         self.number.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces))))
-        self.groups += [";".join(joined[low:high]) for low, high in zip((ends - n_groups).tolist(), ends.tolist())]
+        self.groups += self._texts(a_ids, b_ids, a_group, b_group, n_a + n_b)
         self.counts = np.concatenate((self.counts, np.stack((n_a, n_b, n_groups, n_links, np.array(good, np.int64)), 1)))
         self.codes = np.concatenate((self.codes, a_ids[link_a] << 32 | b_ids[link_b]))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(n_links)))
+        self.used = np.concatenate((self.used, np.zeros(len(pieces), np.int64)))
+
+    def _texts(self, a_ids, b_ids, a_group, b_group, n_tokens) -> list[str]:
+        """The groups of each piece as text: A before B in each, every id with the mark that follows it."""
+        group = np.concatenate((a_group, b_group))
+        order = np.argsort(group, kind="stable")  # A comes first where groups are equal
+        of_b = (order >= len(a_ids)).astype(np.int64)
+        group = group[order]
+        # After an id: "," in the same side, "|" before B, ";" before the next group, nothing behind a piece.
+        mark = np.full(len(order), 3)
+        mark[:-1] = np.where(group[1:] != group[:-1], 2, np.where(of_b[1:] != of_b[:-1], 1, 0))
+        ends = np.cumsum(n_tokens)
+        mark[ends[n_tokens > 0] - 1] = 3
+        shown = np.empty(len(order), object)
+        ids = np.concatenate((a_ids, b_ids))[order]
+        for side, tables in enumerate((self.pair.a_shown, self.pair.b_shown)):
+            for kind, table in enumerate(tables):
+                at = np.flatnonzero((of_b == side) & (mark == kind))
+                shown[at] = table[ids[at]]
+        parts = shown.tolist()
+        return ["".join(parts[low:high]) for low, high in zip((ends - n_tokens).tolist(), ends.tolist())]
 
-    @staticmethod
-    def _texts(ids: np.ndarray, group: np.ndarray) -> list[str]:
-        shown = list(map(str, ids.tolist()))
-        ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(ids)).tolist() if len(ids) else []
-        return [",".join(shown[low:high]) for low, high in itertools.pairwise([0, *ends])]
+
+@functools.lru_cache(maxsize=2)
+def remembered(a_path: str, b_path: str) -> Aligned:
+    return Aligned(tokenizers_of(a_path, b_path))
 
 
 def link_counts(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
@@ -184,7 +241,7 @@ def link_counts(df: DataFrame, a_path: str, b_path: str, text: str = "text") ->
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Aligned(tokenizers_of(a_path, b_path))
+        known = remembered(a_path, b_path)
         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in rows_of(batches):
             found = known.places(batch.column(0).to_pylist())
@@ -243,13 +300,15 @@ def alignments(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, highest = shared.value
-        known = Aligned(tokenizers_of(a_path, b_path))
-        cleared, rated, n_best, count_sum, missing = 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        known = remembered(a_path, b_path)
+        # Remembered pieces may be of other texts.
+        highest = np.pad(highest, (0, len(known.pair.b_bytes) - len(highest)))
+        renumbered, rated, n_best, count_sum, missing = -1, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), []
         part, row = TaskContext.get().partitionId(), 0
         for batch in rows_of(batches):
             found = known.places(batch.column(1).to_pylist())
-            if known.times_cleared > cleared:
-                cleared, rated, n_best, count_sum, missing = known.times_cleared, 0, n_best[:0], count_sum[:0], []
+            if known.renumbered != renumbered:
+                renumbered, rated, n_best, count_sum, missing = known.renumbered, 0, n_best[:0], count_sum[:0], []
             if len(known.groups) > rated:  # what new pieces add
                 new = known.codes[known.offsets[rated]:]
                 at = np.minimum(np.searchsorted(codes, new), max(len(codes) - 1, 0))
