@@ -10,7 +10,8 @@ from chatterloom.catalog.registry import (
     plain_documents, query, quoted, rounded,
 )
 from chatterloom.functions import prompts
-from chatterloom.operators import assessment, insights, labels, topics
+from chatterloom.operators import assessment, insights, labels, scoring, topics
+from chatterloom.sources.staging import StagingArea
 
 CONTEXT = "chatbot conversations"
 
@@ -156,12 +157,39 @@ def assess(spark, sf_dir):
     return done.drop("conversation", "out_of_range")
 
 
-@query("score_with_callable")
+_ANSWERS_SQL = f"""WITH {LABELS_SQL},
+    sized AS (
+      SELECT doc_id AS conv_id, length('Topic: ' || coalesce(topic_label, 'Unknown Topic') || chr(10)
+        || 'Conversation: ' || text) AS n
+      FROM documents LEFT JOIN labels_given ON topic = doc_id % 7 + 1)
+    SELECT conv_id, {" || ".join(f"'{i}: ' || (1 + (n * {i} + {i}) % 5) || chr(10)" for i in range(1, 6))}
+      || 'Assessment: ' || n || ' characters' AS evaluation FROM sized"""
+
+
+@query("score_with_callable", _ANSWERS_SQL)
 def score_with_callable(spark, sf_dir):
     prepared = assessment.evaluation_prompts(assigned(spark, sf_dir), CONTEXT)
     return assessment.score_with(prepared, text_scorer).select("conv_id", "evaluation")
 
 
+def failing_scorer(batches):
+    """The same, but it gives up on a batch that holds a request of certain lengths."""
+    for batch in batches:
+        if (batch["request"].str.len() % 7 == 3).any():
+            raise ValueError("the model gave up")
+        yield from text_scorer(iter([batch]))
+
+
+@query("score_resumed", _ANSWERS_SQL)
+def score_resumed(spark, sf_dir):
+    """Scoring that was left with unanswered rows, taken up again with a scorer that answers all."""
+    area = StagingArea(spark)
+    prepared = area.stage(assessment.evaluation_prompts(assigned(spark, sf_dir), CONTEXT), "prepared")
+    answers = area.path("answers")
+    scoring.score_resumable(prepared, failing_scorer, answers, rounds=2, ask_rows=4)
+    return scoring.score_resumable(prepared, text_scorer, answers).select("conv_id", "evaluation")
+
+
 @query(
     "eval_prompts",
     f"""WITH {LABELS_SQL}

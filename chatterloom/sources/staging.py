@@ -36,14 +36,18 @@ class StagingArea:
         self._spark = spark
         self._root = f"{shared_folder(spark)}/chatterloom-{uuid.uuid4().hex}"
 
+    def path(self, name: str) -> str:
+        """A place for something that is written step by step; it is deleted with the rest."""
+        return f"{self._root}/{name}"
+
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self._root}/{name}"
+        path = self.path(name)
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def stage_by(self, df: DataFrame, name: str, column: str) -> Callable[[int], DataFrame]:
         """Stage with a folder per value of an integer column; the result reads the rows of one value."""
-        path = f"{self._root}/{name}"
+        path = self.path(name)
         df.write.partitionBy(column).parquet(path)
         schema = df.drop(column).schema
         folder = self._spark._jvm.org.apache.hadoop.fs.Path(path)
