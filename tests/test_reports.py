@@ -238,3 +238,29 @@ def test_whole_analysis(spark):
     analysis.release()
     with pytest.raises(ValueError):
         ConversationAnalysis().assessed_df
+
+
+def test_joined_texts_equal_a_plain_join(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 6 + ["cold", None]), rng.choice([0, 0, 1]), i // 2, "x" * rng.randrange(0, 9) + str(i)) for i in range(900)]
+    rows += [("cold", 0, 5, None), ("copies", 0, 1, "same"), ("long", 0, 1, "y" * 500)] + [("copies", 0, 2, "again")] * 400
+    df = spark.createDataFrame(rows, "topic string, part int, conv_id int, remark string").repartition(7)
+    for limit in (1, 7, 120):
+        found = {r["topic"]: r["text"] for r in insights.joined_texts(df, ["topic"], "remark", ["part", "conv_id"], limit, "text").collect()}
+        for topic in {row[0] for row in rows}:
+            texts = {}
+            for _, part, key, text in sorted((row for row in rows if row[0] == topic and row[3] is not None), key=lambda row: row[1:]):
+                texts.setdefault((part, key), []).append(text)
+            # Texts of one place may stand in any order.
+            want = " ".join(text for held in texts.values() for text in held)[:limit]
+            assert len(found[topic]) == len(want)
+            at = 0
+            for held in texts.values():
+                size = sum(map(len, held)) + len(held)
+                if at + size > limit:
+                    break
+                assert sorted(found[topic][at:at + size - 1].split(" ")) == sorted(held)
+                at += size
+    plan = insights.joined_texts(df, ["topic"], "remark", ["conv_id"], 50, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert insights.joined_texts(df.limit(0), ["topic"], "remark", ["conv_id"], 50, "text").count() == 0
