@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from chatterloom.functions.text import sql_text, sql_texts
 from chatterloom.functions.wordlists import NOUN_ENDINGS, STOP_WORDS
 from chatterloom.operators.evaluate import compute_once
-from chatterloom.operators.joins import lookup_join
+from chatterloom.operators.joins import fits, key_filter, lookup_join, perhaps_known, replaced_in_rows
 
 #: Most frequent changed forms that are compiled into the expression, and the number of further ones
 #: up to which they are broadcast instead of shuffled.
@@ -94,7 +94,8 @@ def replace_tokens(
 ) -> DataFrame:
     """Replace every token that is a `form` of `lemmas (form, lemma, cf)` by its lemma.
 
-    `key` must identify a row; it is used only when there are more forms than `inline_forms`.
+    Up to `inline_forms` are compiled into the expression, more are sent to all tasks while their texts are small,
+    and beyond that a filter leaves few places for a join; only then is `key` used, which must identify a row.
     """
     top = lemmas.orderBy(F.desc("cf"), "form").limit(inline_forms + 1).collect()
     inline = {row["form"]: row["lemma"] for row in top[:inline_forms]}
@@ -102,13 +103,16 @@ def replace_tokens(
     if len(top) <= inline_forms:
         return compute_once(df, {"tokens": replaced})
 
+    if fits(lemmas, "form", "lemma"):
+        return replaced_in_rows(df, "tokens", lemmas, "form", "lemma")
+
     # Rarer forms are joined; the frequent ones, handled in place, never reach the join.
     key = list(key)
     frequent = F.expr(f"form IN {sql_texts(inline)}") if inline else F.lit(False)
     rest = lemmas.where(~frequent).select("form", "lemma")
     spots = df.select(*key, F.posexplode("tokens").alias("pos", "form")).where(~frequent)
     hits = lookup_join(
-        spots, rest, ["form"], "inner", rows=BROADCAST_FORMS, spread_by=[*key, "pos"]
+        perhaps_known(spots, *key_filter(rest, "form"), "form"), rest, ["form"], "inner", rows=BROADCAST_FORMS, spread_by=[*key, "pos"]
     )
     changes = hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "lemma")).alias("changes"))
     both = compute_once(df, {"tokens": replaced}).join(changes, key, "left")

@@ -264,3 +264,18 @@ def test_joined_texts_equal_a_plain_join(spark):
     plan = insights.joined_texts(df, ["topic"], "remark", ["conv_id"], 50, "text")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert insights.joined_texts(df.limit(0), ["topic"], "remark", ["conv_id"], 50, "text").count() == 0
+
+
+@pytest.mark.parametrize("last,bits", [(10_000, 16), (3, 4), (1, 8)])
+def test_samples_end_where_the_ordered_draws_do(spark, monkeypatch, last, bits):
+    import hashlib
+
+    monkeypatch.setattr(sampling, "LAST_ROWS", last)
+    monkeypatch.setattr(sampling, "COUNTED_BITS", bits)
+    df = spark.range(500).selectExpr("id AS conv_id", "concat('text ', id) AS text")
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    for n in (0, 1, 17, 250, 499, 500, 501):
+        found = sampling.sample_rows(df, n).collect()
+        assert sorted(r["conv_id"] for r in found) == sorted(order[:n])
+        assert all(r["text"] == f"text {r['conv_id']}" for r in found)
+    assert sampling.sample_rows(df.limit(0), 5).count() == 0

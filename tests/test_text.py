@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
-from chatterloom.operators import lemmas, normalize, phrases
+from chatterloom.operators import joins, lemmas, normalize, phrases
 
 
 def corpus(spark, docs):
@@ -55,8 +55,9 @@ def greedy(tokens, pairs):
     return out
 
 
-@pytest.mark.parametrize("inline", [100, 3, 0])
-def test_phrases_fuse_greedily_in_place_and_joined(spark, inline):
+@pytest.mark.parametrize("inline,limit", [(100, 0), (3, 0), (0, 0), (3, 1 << 20), (0, 1 << 20)])
+def test_phrases_fuse_greedily_in_place_and_joined(spark, monkeypatch, inline, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     rng = random.Random(3)
     docs = [[rng.choice("abcd") for _ in range(rng.randrange(0, 25))] for _ in range(200)]
     pairs = {("a", "b"), ("b", "a"), ("b", "b"), ("c", "a"), ("a", "a"), ("d", "c")}
@@ -87,8 +88,9 @@ def test_phrase_scores(spark):
     }
 
 
-@pytest.mark.parametrize("inline", [100, 1, 0])
-def test_base_forms_in_place_and_joined(spark, inline):
+@pytest.mark.parametrize("inline,limit", [(100, 0), (1, 0), (0, 0), (1, 1 << 20), (0, 1 << 20)])
+def test_base_forms_in_place_and_joined(spark, monkeypatch, inline, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     docs = [["cats", "cat", "boxes", "box", "glass", "mice"], ["men", "man", "was", "wa", "cats"],
             ["glasses", "glass", "it's"], []]
     irregular = spark.createDataFrame([("mice", "mouse")], "form string, lemma string")
@@ -100,3 +102,38 @@ def test_base_forms_in_place_and_joined(spark, inline):
     }
     found = tokens_of(lemmas.replace_tokens(corpus(spark, docs), table, inline_forms=inline))
     assert found == {i: [learned.get(t, t) for t in doc] for i, doc in enumerate(docs)}
+
+
+def test_large_sets_do_not_move_rows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(3)
+    docs = [(i, [rng.choice(words) for _ in range(rng.randrange(0, 30))]) for i in range(60)] + [(60, []), (61, [])]
+    df = spark.createDataFrame(docs, "conv_id long, tokens array<string>").repartition(3)
+    forms = spark.createDataFrame([(f"w{i}", f"v{i}", i) for i in range(0, 40, 3)], "form string, lemma string, cf long")
+    pairs = spark.createDataFrame([(f"w{i}", f"w{j}", i) for i in range(0, 40, 3) for j in range(40)], "a string, b string, n_ab long")
+
+    def told(found):
+        return {r["conv_id"]: r["tokens"] for r in found.collect()}
+
+    results = []
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+        replaced = lemmas.replace_tokens(df, forms, inline_forms=0)
+        fused = phrases.apply_phrases(df, pairs, inline_phrases=0)
+        results.append((told(replaced), told(fused)))
+        if limit:
+            for found in (replaced, fused):
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan.lower()
+    assert results[0] == results[1] and len(results[0][0]) == 62
+    want = {i: tokens and [f"v{t[1:]}" if int(t[1:]) % 3 == 0 else t for t in tokens] for i, tokens in docs}
+    assert results[0][0] == want
+
+
+def test_filter_keeps_all_known_keys(spark):
+    keys = spark.range(0, 5_000, 2).selectExpr("concat('k', id) AS word")
+    bits, pieces = joins.key_filter(keys, "word")
+    assert pieces == 2
+    left = joins.perhaps_known(spark.range(10_000).selectExpr("concat('k', id) AS word", "id"), bits, pieces, "word")
+    found = {r["id"] for r in left.collect()}
+    assert found >= set(range(0, 5_000, 2)) and len(found) < 2_500 + 900
