@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
@@ -194,19 +194,33 @@ def _block_links(
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deals the members of every bucket into blocks of bounded size, each pair of blocks a group.
+    """Deals the members of every bucket into blocks of bounded size, pairs of blocks into groups.
+
+    Members of the bucket's largest component need no comparison with each other. So the other members, few as
+    a rule, have blocks of their own, which meet all blocks, while a block of the largest component meets
+    theirs only: its members are copied as often as there are blocks of others, which is once as a rule.
 
     Adds (low, high), the blocks of the group, `first`, whether the row is of block `low`, and `alone`,
     whether the group is one block compared with itself.
     """
-    sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
-        "bucket", F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    def blocks(count: Column, shingles_: Column) -> Column:
+        return F.ceil(F.greatest(count / BLOCK_MEMBERS, shingles_ / BLOCK_SHINGLES)).cast("int")
+
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    largest = F.max(F.struct("s", "c", "comp")).alias("largest")
+    sized = comps.groupBy("bucket").agg(largest, F.sum("c").alias("c"), F.sum("s").alias("s")).select(
+        "bucket", F.col("largest.comp").alias("main"),
+        blocks(F.col("c") - F.col("largest.c"), F.col("s") - F.col("largest.s")).alias("others"),
+        blocks(F.col("largest.c"), F.col("largest.s")).alias("mains"),
     )
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    in_main = F.col("comp") == F.col("main")
+    place = F.xxhash64("rep")
+    own = F.when(in_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others")))
+    meets = F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
     return (
-        members.join(sized, "bucket")
-        .withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(sized.where("others > 0"), "bucket")
+        .withColumn("block", own.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
         .select(
             "bucket", "rep", "n", "comp", (F.col("block") <= F.col("other")).alias("first"),
             (F.col("block") == F.col("other")).alias("alone"),
