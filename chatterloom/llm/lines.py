@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
-    area_for, as_bytes, bitmap_of, fresh_name, perhaps_in, prepare, read_table, rows_of, word_hashes,
+    area_for, as_bytes, bitmap_of, fresh_name, marked_by, perhaps_in, prepare, read_table, rows_of, word_hashes,
 )
 from chatterloom.operators.joins import lookup_join
 from chatterloom.sources.staging import StagingArea
@@ -199,14 +199,15 @@ def line_ledger(
     raw_counts = raw_docs.groupBy(*same).agg(F.count(F.lit(1)).alias("docs"))
     repeated_raw = area.stage(per_raw.join(raw_counts, same).where(F.col("docs") >= enough).select(*same, *first), "raw-rules")
 
-    # Templates: groups of different lines that agree on leaf and half.
-    halves = per_line.select(
-        "line", "check", "low", "high",
+    # Templates: groups of different lines that agree on leaf and half. A line with fewer constant tokens than a
+    # template must have can be no member, and a template needs as many lines as documents.
+    halves = per_line.where(F.col("constant") >= least).select(
+        "line", "check", "low", "high", "n",
         F.explode(F.array("left", "right")).alias("half"),
     ).where("half IS NOT NULL")
     groups = halves.groupBy("half").agg(
-        F.count(F.lit(1)).alias("members"), F.min("low").alias("low"), F.max("high").alias("high")
-    ).where("members > 1 AND low <> high").select("half")
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    ).where(f"members > 1 AND low <> high AND n >= {MIN_TEMPLATE_DOCS}").select("half")
     wanted = area.stage(halves.join(groups, "half", "left_semi").select("half", "line", "check", "low"), "halves")
     # The tokens come from one document of each line; bitmaps keep other texts and lines from being shuffled.
     varied = wanted.select("line", "check", "low").distinct()
@@ -260,11 +261,16 @@ def cleaned(
         F.sort_array(F.collect_list("line_no")).alias(dropped)
     )
     drops = area.stage(drops, "drops")
-    joined = df.join(drops, df[key] == drops[drops.columns[0]], "left").select(*[df[c] for c in df.columns], drops[dropped])
+    # Rows that surely lose nothing stay where they are.
+    mark = fresh_name(df, "_touched")
+    marked = marked_by(df, bitmap_of(drops, drops.columns[0]), mark, key)
+    name = drops.columns[0]
+    touched = marked.where(mark).join(drops, F.col(key) == F.col(name), "left").select(*df.columns, dropped)
+    others = marked.where(~F.col(mark)).select(*df.columns).withColumn(dropped, F.lit(None).cast("array<int>"))
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches):
             columns, gone = list(batch.columns), batch.column(batch.num_columns - 1)
             if gone.null_count < batch.num_rows:
                 texts = [
@@ -274,7 +280,7 @@ def cleaned(
                 columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return joined.mapInArrow(run, joined.schema)
+    return touched.mapInArrow(run, touched.schema).unionByName(others)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
