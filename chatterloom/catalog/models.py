@@ -14,6 +14,7 @@ from chatterloom.catalog.texts import assembled
 from chatterloom.config import WIDE_SWEEP, Settings
 from chatterloom.operators import clusters, coherence, density, normalize, phrases, topics, vocabulary
 from chatterloom.plans.analysis import ConversationAnalysis
+from chatterloom.plans.fitted import FittedAnalysis
 from chatterloom.sources.staging import StagingArea
 
 #: A short range of topic counts with the whole training schedule, for single models and the whole report.
@@ -207,3 +208,19 @@ def full_report(spark, sf_dir):
     settings = SHORT_SWEEP.with_(min_count=5, end_topics=4)
     analysis = ConversationAnalysis(settings, scorer=text_scorer)
     return analysis.fit(assembled(spark, sf_dir)).final_insights
+
+
+def _kept_analysis(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """An analysis of the assembled conversations, saved, and its own assignment of topics."""
+    area = StagingArea(spark)
+    analysis = ConversationAnalysis(SHORT_SWEEP.with_(min_count=5, end_topics=3)).fit(assembled(spark, sf_dir))
+    analysis.fitted().save(area.path("kept"))
+    return area.path("kept"), analysis.corpus_topic_df
+
+
+@query("score_new_conversations")
+def score_new_conversations(spark, sf_dir):
+    """A saved analysis applied to all conversations, as it would be to new ones."""
+    path, _ = _kept_analysis(spark, sf_dir)
+    fitted = FittedAnalysis.load(spark, path)
+    return fitted.transform(assembled(spark, sf_dir).select("conv_id", "conversation")).drop("conversation")
