@@ -8,7 +8,7 @@ from chatterloom.catalog.registry import (
     STOP_SQL, TOKS_SQL, VOCAB_SQL, dealt_terms, documents, light_sql, normalized, query,
     rounded, table,
 )
-from chatterloom.operators import coherence, normalize, phrases, topics, vocabulary
+from chatterloom.operators import coherence, insights, normalize, phrases, topics, vocabulary
 
 # --- phrases -----------------------------------------------------------------------------------
 
@@ -153,6 +153,25 @@ def class_tfidf(spark, sf_dir):
     return weights.withColumns(rounded("weight"))
 
 
+@query(
+    "class_top_terms",
+    f"""WITH {TOKS_SQL},
+    counts AS (SELECT lang, token AS term, count(*) AS n FROM long GROUP BY lang, token),
+    sizes AS (SELECT lang, sum(n) AS class_words FROM counts GROUP BY lang),
+    totals AS (SELECT term, sum(n) AS term_total FROM counts GROUP BY term),
+    weights AS (
+      SELECT lang, term, n, n::DOUBLE / class_words::DOUBLE
+        * ln(1 + (SELECT avg(class_words) FROM sizes)::DOUBLE / term_total::DOUBLE) AS weight
+      FROM counts JOIN sizes USING (lang) JOIN totals USING (term))
+    SELECT lang, rank, term, n FROM (
+      SELECT lang, term, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INTEGER) AS rank FROM weights
+    ) WHERE rank <= 10""",
+)
+def class_top_terms(spark, sf_dir):
+    weights = vocabulary.class_term_weights(normalized(spark, sf_dir, "lang"), "lang")
+    return vocabulary.top_class_terms(weights, "lang", 10).select("lang", "rank", "term", "n")
+
+
 # --- coherence of given topics -------------------------------------------------------------------
 
 
@@ -276,6 +295,31 @@ def best_k(spark, sf_dir):
     )
 
 
+@query(
+    "coherence_chart",
+    f"""WITH {TOKS_SQL}, {VOCAB_SQL}, {_models_sql(_GIVEN_COUNTS)}, {_CV_SQL},
+    scores AS (SELECT model AS num_topics, round(avg(c_v), 4) AS c_v FROM cv GROUP BY model)
+    SELECT num_topics, c_v, num_topics = (SELECT num_topics FROM scores ORDER BY c_v DESC, num_topics LIMIT 1) AS is_best,
+      CAST(0.5 AS DOUBLE) AS reference_line FROM scores""",
+)
+def coherence_chart(spark, sf_dir):
+    given = _given_models(spark, sf_dir, _GIVEN_COUNTS)
+    scores = coherence.model_coherence(normalized(spark, sf_dir), given)
+    return insights.coherence_chart(scores.select(F.col("model").alias("num_topics"), F.round("c_v", 4).alias("c_v")))
+
+
+@query(
+    "compare_given_models",
+    f"""WITH {TOKS_SQL}, {VOCAB_SQL}, {_models_sql(_GIVEN_COUNTS)}, {_CV_SQL}
+    SELECT 'given ' || model AS model, CAST(model AS INTEGER) AS n_topics, round(avg(c_v), 4) AS c_v FROM cv GROUP BY model""",
+)
+def compare_given_models(spark, sf_dir):
+    """The comparison of models, over topics that SQL can deal out too."""
+    given = spark.createDataFrame(_given_models(spark, sf_dir, _GIVEN_COUNTS), "model int, topic int, rank int, term string")
+    models = {f"given {k}": given.where(F.col("model") == k) for k in _GIVEN_COUNTS}
+    return coherence.model_comparison(normalized(spark, sf_dir), models).drop("train_seconds")
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 _ARGMAX_SQL = """
