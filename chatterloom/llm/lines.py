@@ -1,12 +1,12 @@
 """Line dedup by a log-template tree.
 
 A line is cut into tokens, and tokens with a digit become a wildcard. The tree has a fixed depth: a leaf
-is the number of tokens and the first LEADING tokens. Inside a leaf, lines that also agree on one half of
-the remaining tokens form a group. Its template has the tokens that most of its different lines have at a
-position, and wildcards elsewhere; it counts if enough of it is constant. Lines that do not agree with enough
-of it are no part of it. A template, or a line as it stands, that recurs in enough documents is repeated
-text: the first document that has it keeps its first line of it, all other lines of it are dropped. Lines
-with digits that agree but for these are held to what a template is; those with the same digits are not.
+is the number of tokens and the first LEADING tokens. Inside a leaf the different lines that have a token at a position are
+counted, and in every line the tokens that are rare at their position become wildcards too, wherever they stand. This is
+done twice, as a token may be called rare if only one line has it, or if no more than half of the leaf's lines do; lines that
+are then the same form a template. It counts if enough of its tokens are constant. A template, or a line as it stands, that
+recurs in enough documents is repeated text: the first document that has it keeps its first line of it, all other lines of it
+are dropped. Lines with digits that agree but for these are held to what a template is; those with the same digits are not.
 
 Every step is a grouped sum, minimum or maximum over hashes, combined before the shuffle, so a template
 that is in a third of all lines is no burden to any task. Lines themselves are never shuffled.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from chatterloom.llm.common import (
     area_for, as_bytes, bitmap_of, fresh_name, marked_by, perhaps_in, prepare, read_table, rows_of, word_hashes,
 )
-from chatterloom.operators.joins import lookup_join
 from chatterloom.sources.staging import StagingArea
 
 #: Leading tokens that select a leaf, besides the number of tokens.
@@ -40,8 +39,6 @@ LEADING = 3
 MIN_DOCS, SHORT_TOKENS, SHORT_MIN_DOCS = 2, 8, 10
 #: Documents, constant tokens and share of constant tokens of a template with fields found by comparison.
 MIN_TEMPLATE_DOCS, MIN_CONSTANT, MIN_CONSTANT_SHARE = 3, 8, 0.6
-#: Templates up to which they are broadcast.
-SHAPE_ROWS = 5_000
 WILDCARD = "<*>"
 _DIGIT = re.compile(rb"[0-9]").search
 _FIELD = WILDCARD.encode()
@@ -62,8 +59,7 @@ class Lines:
 
     `place` is the text of a line, `number` its number there, `size` its tokens, `constant` those that are
     no wildcard, `line` and `check` hash all tokens, `raw` does so for lines with digits as they stand and is
-    null for others, `left` and `right` the leaf and one half of the rest,
-    `tokens` the hash of each token. Fields become wildcards before anything is hashed.
+    null for others, `leaf` the number of tokens and the first of them, `tokens` the hash of each token. Fields become wildcards before anything is hashed.
     """
 
     def __init__(self, texts: list[bytes | None]):
@@ -90,28 +86,20 @@ class Lines:
         self.starts = np.cumsum(self.size) - self.size
         if not len(self.size):
             self.constant = self.size
-            self.line = self.check = self.left = self.right = self.tokens
+            self.line = self.check = self.leaf = self.tokens
             return
         at = np.arange(len(flat)) - np.repeat(self.starts, self.size)
         placed = self.tokens + (at + 1).astype(np.uint64) * _PLACE
         value = _mixed(placed)
-        rest = np.maximum(self.size - LEADING, 0)
-        middle = np.repeat(LEADING + (rest + 1) // 2, self.size)
 
         def summed(values: np.ndarray) -> np.ndarray:
             return np.add.reduceat(values, self.starts)
 
         sizes = _mixed(self.size.astype(np.uint64) * _SIZE)
         zero = np.uint64(0)
-        leaf = _mixed(summed(np.where(at < LEADING, value, zero)) + sizes)
+        self.leaf = _mixed(summed(np.where(at < LEADING, value, zero)) + sizes * _LEAF)
         self.constant = summed((self.tokens != _FIELD_HASH).astype(np.int64))
         self.line, self.check = _mixed(summed(value) + sizes), _mixed(summed(_mixed(placed, _CHECK)) + sizes)
-        self.left = _mixed(summed(np.where((at >= LEADING) & (at < middle), value, zero)) + leaf * _LEAF)
-        self.right = _mixed(summed(np.where(at >= middle, value, zero)) + leaf * _SIZE)
-
-    def halves(self, side: np.ndarray) -> pa.Array:
-        """Hashes of a half, null for lines too short to have two."""
-        return pa.array(side.view(np.int64), mask=self.size - LEADING <= 1)
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,14 +116,14 @@ def _placed(keyed: DataFrame) -> DataFrame:
                     batch.column(0).take(pa.array(found.place)), pa.array(found.number, pa.int32()),
                     pa.array(found.size, pa.int32()), pa.array(found.constant, pa.int32()),
                     pa.array(found.line.view(np.int64)), pa.array(found.check.view(np.int64)),
-                    found.halves(found.left), found.halves(found.right), found.raw,
+                    pa.array(found.leaf.view(np.int64)), found.raw,
                 ],
-                names=["key", "line_no", "size", "constant", "line", "check", "left", "right", "raw"],
+                names=["key", "line_no", "size", "constant", "line", "check", "leaf", "raw"],
             )
 
     kind = keyed.schema["key"].dataType.simpleString()
     return keyed.mapInArrow(
-        run, f"key {kind}, line_no int, size int, constant int, line bigint, check bigint, left bigint, right bigint, raw bigint"
+        run, f"key {kind}, line_no int, size int, constant int, line bigint, check bigint, leaf bigint, raw bigint"
     )
 
 
@@ -174,7 +162,7 @@ def line_ledger(
     per_line = area.stage(
         placed.groupBy("line", "check").agg(
             F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n"), _first().alias("first"),
-            F.first("size").alias("size"), F.first("constant").alias("constant"), F.first("left").alias("left"), F.first("right").alias("right"),
+            F.first("size").alias("size"), F.first("constant").alias("constant"), F.first("leaf").alias("leaf"),
         ), "distinct",
     )
     # A line in a single document does not recur; only the others have their documents counted.
@@ -199,43 +187,48 @@ def line_ledger(
     raw_counts = raw_docs.groupBy(*same).agg(F.count(F.lit(1)).alias("docs"))
     repeated_raw = area.stage(per_raw.join(raw_counts, same).where(F.col("docs") >= enough).select(*same, *first), "raw-rules")
 
-    # Templates: groups of different lines that agree on leaf and half. A line with fewer constant tokens than a
-    # template must have can be no member, and a template needs as many lines as documents.
-    halves = per_line.where(F.col("constant") >= least).select(
-        "line", "check", "low", "high", "n",
-        F.explode(F.array("left", "right")).alias("half"),
-    ).where("half IS NOT NULL")
-    groups = halves.groupBy("half").agg(
+    # Lines that may form a template: in a leaf with several, in several documents, and with enough constant tokens
+    # to be members; a template needs as many lines as documents.
+    able = per_line.where(F.col("constant") >= least).select("leaf", "line", "check", "low", "high", "n", "size")
+    leaves = able.groupBy("leaf").agg(
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
-    ).where(f"members > 1 AND low <> high AND n >= {MIN_TEMPLATE_DOCS}").select("half")
-    wanted = area.stage(halves.join(groups, "half", "left_semi").select("half", "line", "check", "low"), "halves")
+    ).where(f"members > 1 AND low <> high AND n >= {MIN_TEMPLATE_DOCS}").select("leaf", "members")
+    wanted = area.stage(able.drop("n", "high").join(leaves, "leaf"), "able")
     # The tokens come from one document of each line; bitmaps keep other texts and lines from being shuffled.
-    varied = wanted.select("line", "check", "low").distinct()
-    texts = perhaps_in(keyed, bitmap_of(varied, "low"), "key")
-    few = perhaps_in(_tokens(texts), bitmap_of(varied, "line"), "line")
-    tokens = few.join(varied.select("line", "check").distinct(), ["line", "check"]).dropDuplicates(["line", "check"])
-    spread = wanted.drop("low").join(area.stage(tokens, "tokens"), ["line", "check"])
-    # The token of a position is the one that more than half of the lines have there: a few lines that only
-    # look like the others do not take it away.
-    held = spread.select("half", F.posexplode("tokens").alias("at", "token")).groupBy("half", "at", "token").agg(F.count(F.lit(1)).alias("n"))
-    positions = held.groupBy("half", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("lines"))
-    constant = (2 * F.col("most.n") > F.col("lines")) & (F.col("most.token") != int(_FIELD_HASH.view(np.int64)))
-    shape = area.stage(positions.groupBy("half").agg(
-        F.greatest(F.lit(MIN_CONSTANT), MIN_CONSTANT_SHARE * F.count(F.lit(1))).alias("least"),
-        F.collect_list(F.when(constant, F.struct("at", F.col("most.token").alias("token")))).alias("shape"),
-    ).where(F.size("shape") >= F.col("least")), "shapes")
-    agreeing = F.size(F.filter("shape", lambda c: F.get(F.col("tokens"), c["at"]) == c["token"]))
-    valid = area.stage(
-        lookup_join(spread, shape, ["half"], "inner", SHAPE_ROWS, ["line"]).where(agreeing >= F.col("least")).select("half", "line", "check"), "valid"
+    texts = perhaps_in(keyed, bitmap_of(wanted, "low"), "key")
+    few = perhaps_in(_tokens(texts), bitmap_of(wanted, "line"), "line")
+    tokens = few.join(wanted.select("line", "check"), ["line", "check"]).dropDuplicates(["line", "check"])
+    cells = area.stage(
+        wanted.drop("low").join(tokens, ["line", "check"]).select("leaf", "members", "size", "line", "check", F.posexplode("tokens").alias("at", "token"))
+        .where(F.col("token") != int(_FIELD_HASH.view(np.int64))), "cells",
     )
+    held = cells.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    common = cells.join(held, ["leaf", "at", "token"]).withColumn("most", 2 * F.col("lines") > F.col("members"))
+    # What is left of a line, as two sums of hashes that do not depend on the order of its tokens.
+    kinds = {"any": F.lit(True), "most": F.col("most")}
+    sums = {}
+    for kind, kept in kinds.items():
+        sums[f"{kind}_n"] = F.count_if(kept)
+        for seed in (1, 2):
+            sums[f"{kind}_{seed}"] = F.bit_xor(F.when(kept, F.xxhash64("at", "token", F.lit(seed))))
+    masked = common.groupBy("leaf", "size", "line", "check").agg(*[column.alias(name) for name, column in sums.items()])
+    forms = F.array(*[
+        F.struct(F.col(f"{kind}_n").alias("n"), F.xxhash64("leaf", f"{kind}_1").alias("a"), F.xxhash64("leaf", f"{kind}_2").alias("b"))
+        for kind in kinds
+    ])
+    valid = masked.select("line", "check", "size", F.explode(forms).alias("form")).where(
+        F.col("form.n") >= F.greatest(F.lit(MIN_CONSTANT), MIN_CONSTANT_SHARE * F.col("size"))
+    ).select("line", "check", F.col("form.a").alias("a"), F.col("form.b").alias("b")).distinct()
+    valid = area.stage(valid, "valid")
     # Documents per template, from the lines of its members.
+    template = ["a", "b"]
     of_template = placed.select("line", "check", "key", "line_no").join(valid, ["line", "check"])
-    template_docs = of_template.select("half", "key").distinct().groupBy("half").agg(F.count(F.lit(1)).alias("docs"))
-    firsts = of_template.groupBy("half").agg(_first().alias("first"))
-    templates = template_docs.where(F.col("docs") >= MIN_TEMPLATE_DOCS).join(firsts, "half").select(
-        "half", F.col("first.key").alias("first_key"), F.col("first.line_no").alias("first_no")
+    template_docs = of_template.select(*template, "key").distinct().groupBy(*template).agg(F.count(F.lit(1)).alias("docs"))
+    firsts = of_template.groupBy(*template).agg(_first().alias("first"))
+    templates = template_docs.where(F.col("docs") >= MIN_TEMPLATE_DOCS).join(firsts, template).select(
+        *template, F.col("first.key").alias("first_key"), F.col("first.line_no").alias("first_no")
     )
-    by_template = valid.join(templates, "half").select("line", "check", "first_key", "first_no")
+    by_template = valid.join(templates, template).select("line", "check", "first_key", "first_no")
 
     # A line is dropped if it is not the first of some template it belongs to.
     rules = area.stage(repeated.unionByName(by_template).distinct(), "rules")
@@ -305,48 +298,63 @@ _TOKENS_SQL = (
     r"FOR t IN regexp_extract_all(raw, '[^\x20\x09-\x0D]+')]"
 )
 
+_LEAST_SQL = f"greatest({MIN_CONSTANT}, {MIN_CONSTANT_SHARE} * size)"
+_ENOUGH_SQL = f"CASE WHEN any_value(size) < {SHORT_TOKENS} THEN {SHORT_MIN_DOCS} ELSE {MIN_DOCS} END"
+
 OP1_SQL = f"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ),
-cut AS (SELECT doc_id, line_no, {_TOKENS_SQL} AS t FROM raw),
+cut AS (SELECT doc_id, line_no, array_to_string(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+'), ' ') AS same, {_TOKENS_SQL} AS t FROM raw),
 l AS (
-  SELECT doc_id, line_no, t, len(t) AS size, array_to_string(t, ' ') AS line,
-    len([x FOR x IN t IF x <> '{WILDCARD}']) AS constant,
-    {LEADING} + (len(t) - {LEADING} + 1) // 2 AS middle
+  SELECT doc_id, line_no, same, t, len(t) AS size, array_to_string(t, ' ') AS line,
+    len([x FOR x IN t IF x <> '{WILDCARD}']) AS constant, concat_ws('|', len(t), array_to_string(t[1:{LEADING}], ' ')) AS leaf,
+    doc_id * 10000000 + line_no AS place
   FROM cut WHERE len(t) > 0
 ),
 repeated AS (
-  SELECT line, min(doc_id * 10000000 + line_no) AS first FROM l WHERE constant > 0 GROUP BY line
-  HAVING count(DISTINCT doc_id) >= CASE WHEN any_value(size) < {SHORT_TOKENS} THEN {SHORT_MIN_DOCS} ELSE {MIN_DOCS} END
+  SELECT line, min(place) AS first FROM l WHERE constant > 0 GROUP BY line
+  HAVING CASE WHEN any_value(constant) = any_value(size) THEN count(DISTINCT doc_id) >= {_ENOUGH_SQL}
+    ELSE count(DISTINCT doc_id) >= {MIN_TEMPLATE_DOCS} AND any_value(constant) >= any_value({_LEAST_SQL}) END
 ),
-halves AS (
-  SELECT *, concat_ws('|', 1, size, array_to_string(t[1:{LEADING}], ' '), array_to_string(t[{LEADING} + 1:middle], ' ')) AS half
-  FROM l WHERE size - {LEADING} > 1
-  UNION ALL
-  SELECT *, concat_ws('|', 2, size, array_to_string(t[1:{LEADING}], ' '), array_to_string(t[middle + 1:size], ' ')) AS half
-  FROM l WHERE size - {LEADING} > 1
+same AS (
+  SELECT same, min(place) AS first FROM l WHERE constant > 0 AND constant < size GROUP BY same
+  HAVING count(DISTINCT doc_id) >= {_ENOUGH_SQL}
 ),
-groups AS (
-  SELECT half, min(doc_id * 10000000 + line_no) AS first FROM halves GROUP BY half
-  HAVING count(DISTINCT line) > 1 AND count(DISTINCT doc_id) >= {MIN_TEMPLATE_DOCS}
+able AS (
+  SELECT line, any_value(leaf) AS leaf, any_value(t) AS t, any_value(size) AS size, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high
+  FROM l WHERE constant >= {_LEAST_SQL} GROUP BY line
 ),
-positions AS (
-  SELECT half, size, pos, count(DISTINCT token) = 1 AND min(token) <> '{WILDCARD}' AS same
-  FROM (SELECT half, size, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM halves SEMI JOIN groups USING (half))
-  GROUP BY half, size, pos
+leaves AS (
+  SELECT leaf, count(*) AS members FROM able GROUP BY leaf
+  HAVING count(*) > 1 AND min(low) <> max(high) AND sum(n) >= {MIN_TEMPLATE_DOCS}
 ),
-valid AS (
-  SELECT half FROM positions GROUP BY half, size
-  HAVING count_if(same) >= {MIN_CONSTANT} AND count_if(same) >= {MIN_CONSTANT_SHARE} * size
+cells AS (
+  SELECT * FROM (
+    SELECT leaf, members, line, size, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM able JOIN leaves USING (leaf)
+  ) WHERE token <> '{WILDCARD}'
+),
+common AS (
+  SELECT *, count(*) OVER (PARTITION BY leaf, pos, token) AS lines FROM cells
+),
+forms AS (
+  SELECT line, leaf || ':' || string_agg(pos || '=' || token, ' ' ORDER BY pos) AS form FROM common WHERE lines > 1
+  GROUP BY leaf, line, size HAVING count(*) >= {_LEAST_SQL}
+  UNION
+  SELECT line, leaf || ':' || string_agg(pos || '=' || token, ' ' ORDER BY pos) AS form FROM common WHERE lines > 1 AND 2 * lines > members
+  GROUP BY leaf, line, size HAVING count(*) >= {_LEAST_SQL}
+),
+templates AS (
+  SELECT form, min(place) AS first FROM l JOIN forms USING (line) GROUP BY form HAVING count(DISTINCT doc_id) >= {MIN_TEMPLATE_DOCS}
 ),
 gone AS (
-  SELECT doc_id, line_no FROM l JOIN repeated USING (line) WHERE doc_id * 10000000 + line_no <> first
+  SELECT doc_id, line_no FROM l JOIN repeated USING (line) WHERE place <> first
+  UNION
+  SELECT doc_id, line_no FROM l JOIN same USING (same) WHERE place <> first
   UNION
-  SELECT doc_id, line_no FROM halves JOIN groups USING (half) SEMI JOIN valid USING (half)
-  WHERE doc_id * 10000000 + line_no <> first
+  SELECT doc_id, line_no FROM l JOIN forms USING (line) JOIN templates USING (form) WHERE place <> first
 ),
 told AS (
   SELECT doc_id, count(gone.line_no) AS n, string_agg(CAST(gone.line_no AS VARCHAR), ',' ORDER BY gone.line_no) AS numbers,

@@ -124,38 +124,50 @@ def test_one_of_each_group_stays(spark, copies):
 
 
 def plain_lines(texts):
-    """Lines to drop, by comparing every line with all others."""
+    """Lines to drop: lines as they stand, lines but for digits, and templates of every leaf."""
     mask = lambda token: lines.WILDCARD if re.search("[0-9]", token) else token
-    held = [
-        (i, n, tuple(map(mask, re.findall(WORD, line)))) for i, text in enumerate(texts) for n, line in enumerate((text or "").split("\n"))
-    ]
-    held = [entry for entry in held if entry[2]]
+    raw = [(i, n, tuple(re.findall(WORD, line))) for i, text in enumerate(texts) for n, line in enumerate((text or "").split("\n"))]
+    raw = [entry for entry in raw if entry[2]]
     drop = set()
 
-    def apply(members, enough):
-        if len({i for i, _, _ in members}) >= enough:
-            first = min((i, n) for i, n, _ in members)
-            drop.update((i, n) for i, n, _ in members if (i, n) != first)
-
-    groups, halves = collections.defaultdict(list), collections.defaultdict(list)
-    for entry in held:
-        tokens = entry[2]
-        if any(token != lines.WILDCARD for token in tokens):
-            groups[tokens].append(entry)
-        rest = len(tokens) - lines.LEADING
-        if rest > 1:
-            middle = lines.LEADING + (rest + 1) // 2
-            leaf = (len(tokens), tokens[:lines.LEADING])
-            halves[leaf, 1, tokens[lines.LEADING:middle]].append(entry)
-            halves[leaf, 2, tokens[middle:]].append(entry)
-    for tokens, members in groups.items():
-        apply(members, lines.SHORT_MIN_DOCS if len(tokens) < lines.SHORT_TOKENS else lines.MIN_DOCS)
-    for members in halves.values():
-        different = {tokens for _, _, tokens in members}
-        constant = sum(len(set(column)) == 1 and column[0] != lines.WILDCARD for column in zip(*different))
-        size = len(members[0][2])
-        if len(different) > 1 and constant >= lines.MIN_CONSTANT and constant >= lines.MIN_CONSTANT_SHARE * size:
-            apply(members, lines.MIN_TEMPLATE_DOCS)
+    def docs(places):
+        return len({i for i, _ in places})
+
+    def apply(places):
+        drop.update(set(places) - {min(places)})
+
+    def enough(tokens):
+        return 10 if len(tokens) < 8 else 2
+
+    same, alike, leaves = (collections.defaultdict(list) for _ in range(3))
+    for i, n, tokens in raw:
+        masked = tuple(map(mask, tokens))
+        if any(token != lines.WILDCARD for token in masked):
+            alike[masked].append((i, n))
+            if masked != tokens:
+                same[tokens].append((i, n))
+    for tokens, places in same.items():
+        if docs(places) >= enough(tokens):
+            apply(places)
+    for tokens, places in alike.items():
+        constant = sum(token != lines.WILDCARD for token in tokens)
+        able = constant >= 8 and constant >= 0.6 * len(tokens)
+        if docs(places) >= enough(tokens) if constant == len(tokens) else able and docs(places) >= 3:
+            apply(places)
+        if able:
+            leaves[len(tokens), tokens[:3]].append(tokens)
+    for held in leaves.values():
+        count = collections.Counter((at, token) for tokens in held for at, token in enumerate(tokens) if token != lines.WILDCARD)
+        for least in (2, max(2, len(held) // 2 + 1)):
+            groups = collections.defaultdict(list)
+            for tokens in held:
+                left = tuple(token if count[at, token] >= least else None for at, token in enumerate(tokens))
+                constant = sum(token is not None for token in left)
+                if len(held) > 1 and constant >= 8 and constant >= 0.6 * len(tokens):
+                    groups[left] += alike[tokens]
+            for places in groups.values():
+                if docs(places) >= 3:
+                    apply(places)
     return drop
 
 
@@ -164,6 +176,7 @@ def line_texts():
     prose = lambda n: " ".join(chance.choice("alpha beta gamma delta rho tau phi chi".split()) + chance.choice("xyzuvw") for _ in range(n))
     passage = prose(60)
     log = "Posted in the forum by member {} from the city of {} on page {}"
+    notice = "To all who ask {} this house at the market of {} is closed from monday on until all pipes are mended and {} is back"
     texts = []
     for i in range(40):
         own = [prose(chance.randrange(1, 14)) for _ in range(chance.randrange(1, 5))]
@@ -173,6 +186,12 @@ def line_texts():
             own.append(log.format(chance.choice(["ann", "bob", "cyd"]), chance.choice(["ulm", "rom"]), chance.randrange(999)))
         if i % 2 == 0:
             own.append("Share this page")
+        if i % 5 == 0:  # a field in each part, and one of a pool
+            own.append(notice.format(f"name{chr(97 + i % 26)}x", prose(1) + chr(97 + i % 24), chance.choice(["ann", "bob"])))
+        if i == 7:
+            own.append("To all who live here " + prose(19))
+        if i % 9 == 0:
+            own.append("Total 12 15 18 22 30 31 44" if i % 2 else "Total 9 8 7 6 5 4 3")
         texts.append("\n".join(own))
     return [*texts, None, "", "\n\n", texts[5], texts[5], "a\n" * 50 + passage, "1 2 3 4 5 6 7 8 9", "2 3 4 5 6 7 8 9 10", "x " * 3000]
 
@@ -215,6 +234,14 @@ def test_rows_of_numbers_are_no_repeats(spark):
     assert {(row.doc_id, row.line_no) for row in found} == {(2, 0), (2, 1), (3, 1)}
 
 
+def test_a_notice_with_fields_in_any_place(spark):
+    notice = "To all friends of {} we are glad that you came to the fair of {} and hope to see you there next year again with {} friends"
+    names, towns, many = "ann bob cyd dora eve fay gus hal".split(), "ulm rom bonn genf graz wien bern jena".split(), "few two six ten".split()
+    texts = [notice.format(a, b, c) for a, b, c in zip(names, towns, many * 2)]
+    found = lines.line_ledger(docs_of(spark, texts)).collect()
+    assert {(row.doc_id, row.line_no) for row in found} == {(i, 0) for i in range(1, 8)}
+
+
 def test_a_line_unlike_the_others_does_not_hide_their_template(spark):
     """Both have the opening of the notice, and one has nothing else in common with it."""
     start = "This notice was put up by the board of the house so that all who live here know"
