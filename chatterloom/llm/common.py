@@ -116,6 +116,20 @@ def marked_by(df: DataFrame, bitmap: DataFrame, mark: str, column: str) -> DataF
     return joined.withColumn(mark, F.col(column).isNotNull() & F.coalesce(held, F.lit(False))).drop(part, bits)
 
 
+#: Bytes of a staged table that is sent to all tasks.
+SENT_BYTES = 32 << 20
+
+
+def join_staged(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a staged table, sent to all tasks if it takes at most SENT_BYTES when counted, in columns of fixed
+    size and lists; else rows meet by a shuffle, of which adaptive execution splits hot keys."""
+    sizes = F.lit(0)
+    for name, kind in table.dtypes:
+        sizes = sizes + (16 + 8 * F.coalesce(F.size(name), F.lit(0)) if kind.startswith("array") else F.lit(16))
+    small = (table.agg(F.sum(sizes)).first()[0] or 0) <= SENT_BYTES
+    return df.join(F.broadcast(table) if small else table, on, how)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

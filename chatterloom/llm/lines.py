@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
-    area_for, as_bytes, bitmap_of, fresh_name, marked_by, perhaps_in, prepare, read_table, rows_of, word_hashes,
+    area_for, as_bytes, bitmap_of, fresh_name, join_staged, marked_by, perhaps_in, prepare, read_table, rows_of, word_hashes,
 )
 from chatterloom.sources.staging import StagingArea
 
@@ -166,8 +166,8 @@ def line_ledger(
         ), "distinct",
     )
     # A line in a single document does not recur; only the others have their documents counted.
-    recurring = per_line.where("low <> high").select("line", "check")
-    docs = placed.join(recurring, ["line", "check"], "left_semi").select("line", "check", "key").distinct()
+    recurring = area.stage(per_line.where("low <> high").select("line", "check"), "recurring")
+    docs = join_staged(placed, recurring, ["line", "check"]).select("line", "check", "key").distinct()
     counts = docs.groupBy("line", "check").agg(F.count(F.lit(1)).alias("docs"))
     enough = F.when(F.col("size") < SHORT_TOKENS, SHORT_MIN_DOCS).otherwise(MIN_DOCS)
     least = F.greatest(F.lit(MIN_CONSTANT), MIN_CONSTANT_SHARE * F.col("size"))
@@ -179,11 +179,11 @@ def line_ledger(
     # Of lines with digits, those that are the same with them; only what recurs without them can.
     digits = placed.where("raw IS NOT NULL AND constant > 0").select("line", "check", "raw", "key", "line_no", "size")
     same = ["line", "check", "raw"]
-    per_raw = digits.join(recurring, ["line", "check"], "left_semi").groupBy(*same).agg(
+    per_raw = join_staged(digits, recurring, ["line", "check"]).groupBy(*same).agg(
         F.min("key").alias("low"), F.max("key").alias("high"), _first().alias("first"), F.first("size").alias("size")
     ).where("low <> high")
     per_raw = area.stage(per_raw, "digits")
-    raw_docs = digits.join(per_raw.select(*same), same, "left_semi").select(*same, "key").distinct()
+    raw_docs = join_staged(digits, per_raw.select(*same), same).select(*same, "key").distinct()
     raw_counts = raw_docs.groupBy(*same).agg(F.count(F.lit(1)).alias("docs"))
     repeated_raw = area.stage(per_raw.join(raw_counts, same).where(F.col("docs") >= enough).select(*same, *first), "raw-rules")
 
@@ -222,7 +222,7 @@ def line_ledger(
     valid = area.stage(valid, "valid")
     # Documents per template, from the lines of its members.
     template = ["a", "b"]
-    of_template = placed.select("line", "check", "key", "line_no").join(valid, ["line", "check"])
+    of_template = join_staged(placed.select("line", "check", "key", "line_no"), valid, ["line", "check"])
     template_docs = of_template.select(*template, "key").distinct().groupBy(*template).agg(F.count(F.lit(1)).alias("docs"))
     firsts = of_template.groupBy(*template).agg(_first().alias("first"))
     templates = template_docs.where(F.col("docs") >= MIN_TEMPLATE_DOCS).join(firsts, template).select(
@@ -232,8 +232,8 @@ def line_ledger(
 
     # A line is dropped if it is not the first of some template it belongs to.
     rules = area.stage(repeated.unionByName(by_template).distinct(), "rules")
-    hit = placed.select("line", "check", "key", "line_no").join(rules, ["line", "check"]).unionByName(
-        digits.select(*same, "key", "line_no").join(repeated_raw, same).drop("raw")
+    hit = join_staged(placed.select("line", "check", "key", "line_no"), rules, ["line", "check"]).unionByName(
+        join_staged(digits.select(*same, "key", "line_no"), repeated_raw, same).drop("raw")
     )
     later = ~((F.col("key") == F.col("first_key")) & (F.col("line_no") == F.col("first_no")))
     return hit.where(later).select(F.col("key").alias(key), "line_no").distinct()
@@ -258,7 +258,7 @@ def cleaned(
     mark = fresh_name(df, "_touched")
     marked = marked_by(df, bitmap_of(drops, drops.columns[0]), mark, key)
     name = drops.columns[0]
-    touched = marked.where(mark).join(drops, F.col(key) == F.col(name), "left").select(*df.columns, dropped)
+    touched = join_staged(marked.where(mark).withColumn(name, F.col(key)), drops, [name], "left").select(*df.columns, dropped)
     others = marked.where(~F.col(mark)).select(*df.columns).withColumn(dropped, F.lit(None).cast("array<int>"))
     place = df.columns.index(text)
 
