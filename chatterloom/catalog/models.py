@@ -17,7 +17,7 @@ from chatterloom.plans.analysis import ConversationAnalysis
 from chatterloom.plans.fitted import FittedAnalysis
 from chatterloom.sources.staging import StagingArea
 
-#: A short range of topic counts with the whole training schedule, for single models and the whole report.
+#: A short range of topic counts with the whole training schedule.
 SHORT_SWEEP = Settings(start_topics=3, end_topics=5)
 #: Updates of the second model, each over the whole corpus.
 NGRAM_UPDATES = 100
@@ -205,8 +205,7 @@ def model_comparison(spark, sf_dir):
 @query("full_report")
 def full_report(spark, sf_dir):
     """The whole analysis of the assembled conversations; its result is the worst topics."""
-    settings = SHORT_SWEEP.with_(min_count=5, end_topics=4)
-    analysis = ConversationAnalysis(settings, scorer=text_scorer)
+    analysis = ConversationAnalysis(WIDE_SWEEP.with_(min_count=5), scorer=text_scorer)
     return analysis.fit(assembled(spark, sf_dir)).final_insights
 
 
