@@ -137,3 +137,26 @@ def test_filter_keeps_all_known_keys(spark):
     left = joins.perhaps_known(spark.range(10_000).selectExpr("concat('k', id) AS word", "id"), bits, pieces, "word")
     found = {r["id"] for r in left.collect()}
     assert found >= set(range(0, 5_000, 2)) and len(found) < 2_500 + 900
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_phrases_are_learned_once_however_they_are_applied(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    read = spark.sparkContext.accumulator(0)
+
+    def tick(row):
+        read.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([("a", "b", 3), ("c", "a", 2), ("b", "x y", 1), ("q", "", 1)], 1).map(tick)
+    pairs = spark.createDataFrame(rows, "a string, b string, n_ab long")
+    docs = [["a", "b", "a"], ["b", "x y", "c", "a"], ["b", "x", "y"], ["q", "q"], [], ["a"]]
+    found = tokens_of(phrases.apply_phrases(corpus(spark, docs), pairs, inline_phrases=0))
+    assert found == {0: ["a_b", "a"], 1: ["b_x y", "c_a"], 2: ["b", "x", "y"], 3: ["q", "q"], 4: [], 5: ["a"]}
+    assert read.value == 4
+
+
+def test_pairs_of_null_empty_and_single_word_rows(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, ["a"]), (3, ["a", "b", "a", "b"])], "conv_id long, tokens array<string>")
+    found = {(r.a, r.b): r.n for r in phrases.pair_counts(df).collect()}
+    assert found == {("a", ""): 1, ("a", "b"): 2, ("b", "a"): 1, ("b", ""): 1}
