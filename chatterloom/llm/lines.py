@@ -19,17 +19,15 @@ empty table gives an empty one. Other columns are ignored by `line_ledger` and k
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.common import (
-    area_for, as_bytes, bitmap_of, fresh_name, join_staged, marked_by, perhaps_in, prepare, read_table, rows_of, word_hashes,
+    area_for, as_bytes, bitmap_of, fresh_name, join_staged, marked_by, perhaps_in, prepare, read_table, rows_of,
 )
 from chatterloom.sources.staging import StagingArea
 
@@ -40,9 +38,6 @@ MIN_DOCS, SHORT_TOKENS, SHORT_MIN_DOCS = 2, 8, 10
 #: Documents, constant tokens and share of constant tokens of a template with fields found by comparison.
 MIN_TEMPLATE_DOCS, MIN_CONSTANT, MIN_CONSTANT_SHARE = 3, 8, 0.6
 WILDCARD = "<*>"
-_DIGIT = re.compile(rb"[0-9]").search
-_FIELD = WILDCARD.encode()
-_FIELD_HASH = word_hashes([_FIELD])[0]
 #: Odd multipliers of the hashes of a line (fixed values).
 _PLACE, _MIX, _CHECK, _SIZE, _LEAF = (
     np.uint64(value) for value in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -54,6 +49,51 @@ def _mixed(values: np.ndarray, factor: np.uint64 = _MIX) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+#: Bytes of tokens that are hashed at once, so that steps in between stay in a core's cache.
+HASHED_BYTES = 1 << 17
+#: White space that parts tokens.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+
+
+def _multipliers(seed: np.uint64, count: int) -> np.ndarray:
+    """An odd multiplier for each place in a token (fixed values)."""
+    with np.errstate(over="ignore"):
+        return _mixed(_mixed(np.arange(1, count + 1, dtype=np.uint64) * seed), _CHECK) | np.uint64(1)
+
+
+_SHORT = 256
+_FACTORS = [_multipliers(seed, _SHORT) for seed in (_PLACE, _LEAF)]
+
+
+def _token_hashes(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of tokens whose bytes lie end to end: two weighted sums of the bytes, mixed into one number."""
+    found = np.empty(len(lengths), np.uint64)
+    ends = np.cumsum(lengths)
+    first = begin = 0
+    while first < len(lengths):
+        # As many tokens as fit, one at least.
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASHED_BYTES, "right")))
+        sizes = lengths[first:last]
+        end = int(ends[last - 1])
+        starts = ends[first:last] - sizes - begin
+        at = np.arange(end - begin) - np.repeat(starts, sizes)
+        values = held[begin:end].astype(np.uint64) + np.uint64(1)
+        longest = int(sizes.max())
+        factors = _FACTORS if longest <= _SHORT else [_multipliers(seed, longest) for seed in (_PLACE, _LEAF)]
+        one, two = (np.add.reduceat(values * factor[at], starts) for factor in factors)
+        found[first:last] = _mixed(_mixed(one) + _mixed(two, _CHECK), _SIZE)
+        first, begin = last, end
+    return found
+
+
+def _hash_of(token: bytes) -> np.uint64:
+    return _token_hashes(np.frombuffer(token, np.uint8), np.array([len(token)]))[0]
+
+
+_FIELD_HASH = _hash_of(WILDCARD.encode())
+
+
 class Lines:
     """The lines with tokens of several texts: hashes in place of tokens.
 
@@ -63,43 +103,45 @@ class Lines:
     """
 
     def __init__(self, texts: list[bytes | None]):
-        flat: list[bytes] = []
-        place, number, size = [], [], []
-        raw: list[int | None] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            start = len(flat)
-            for n, line in enumerate(text.split(b"\n")):
-                held = line.split()
-                if held:
-                    flat += held
-                    raw.append(xxhash.xxh3_64_intdigest(b" ".join(held)) if _DIGIT(line) else None)
-                    place.append(i)
-                    number.append(n)
-                    size.append(len(held))
-            if _DIGIT(text):
-                flat[start:] = [_FIELD if _DIGIT(token) else token for token in flat[start:]]
-        self.place, self.number, self.size = (np.array(values, np.int64) for values in (place, number, size))
-        self.raw = pa.array(raw, pa.uint64()).view(pa.int64())
-        self.tokens = word_hashes(flat)
-        self.starts = np.cumsum(self.size) - self.size
+        # All texts as one, a line end between them; tokens are found and hashed without leaving the array.
+        texts = [text or b"" for text in texts]
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        inside = ~_SPACE[data]
+        turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begins, ends = turns[::2], turns[1::2]
+        line_ends = np.flatnonzero(data == 0x0A)
+        line_of = np.searchsorted(line_ends, begins)
+        self.starts = np.flatnonzero(np.diff(line_of, prepend=-1))
+        self.size = np.diff(self.starts, append=len(begins))
+        text_starts = np.cumsum([0] + [len(text) + 1 for text in texts])[:-1]
+        self.place = np.searchsorted(text_starts, begins[self.starts], "right") - 1
+        self.number = line_of[self.starts] - np.searchsorted(line_ends, text_starts)[self.place]
+        held, lengths = data[inside], ends - begins
+        self.tokens = _token_hashes(held, lengths)
         if not len(self.size):
+            self.raw = pa.array([], pa.int64())
             self.constant = self.size
             self.line = self.check = self.leaf = self.tokens
             return
-        at = np.arange(len(flat)) - np.repeat(self.starts, self.size)
-        placed = self.tokens + (at + 1).astype(np.uint64) * _PLACE
-        value = _mixed(placed)
+        at = np.arange(len(begins)) - np.repeat(self.starts, self.size)
+        sizes = _mixed(self.size.astype(np.uint64) * _SIZE)
+        # uint8 wraps below "0", so one comparison tells digits.
+        field = np.logical_or.reduceat(held - np.uint8(0x30) < 10, np.cumsum(lengths) - lengths)
+
+        def placed() -> np.ndarray:
+            return self.tokens + (at + 1).astype(np.uint64) * _PLACE
 
         def summed(values: np.ndarray) -> np.ndarray:
             return np.add.reduceat(values, self.starts)
 
-        sizes = _mixed(self.size.astype(np.uint64) * _SIZE)
+        plain = ~np.logical_or.reduceat(field, self.starts)
+        self.raw = pa.array((summed(_mixed(placed(), _LEAF)) + sizes).view(np.int64), mask=plain)
+        self.tokens[field] = _FIELD_HASH
+        mixed = _mixed(placed())
         zero = np.uint64(0)
-        self.leaf = _mixed(summed(np.where(at < LEADING, value, zero)) + sizes * _LEAF)
+        self.leaf = _mixed(summed(np.where(at < LEADING, mixed, zero)) + sizes * _LEAF)
         self.constant = summed((self.tokens != _FIELD_HASH).astype(np.int64))
-        self.line, self.check = _mixed(summed(value) + sizes), _mixed(summed(_mixed(placed, _CHECK)) + sizes)
+        self.line, self.check = _mixed(summed(mixed) + sizes), _mixed(summed(_mixed(placed(), _CHECK)) + sizes)
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:

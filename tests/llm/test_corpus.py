@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -213,6 +214,40 @@ def test_dropped_lines_equal_plain_comparison(spark):
     assert sorted(row.doc_id for row in left.collect()) == sorted(set(range(len(texts))) - gone)
 
 
+def test_hashing_lines_takes_no_step_per_token():
+    def calls(texts):
+        count = 0
+
+        def seen(_frame, event, _arg):
+            nonlocal count
+            count += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            lines.Lines(texts)
+        finally:
+            sys.setprofile(None)
+        return count
+
+    texts = [f"zeile {i} w{i}x wort{'a' * (i % 7)}".encode() for i in range(20)]
+    lines.Lines(texts)
+    assert calls([b" ".join([text] * 30) for text in texts]) < calls(texts) + 30
+
+
+def test_hashes_of_lines_tell_tokens_apart():
+    texts = [b"a b\nab", b"ab\r\n \na\tb\x00", None, b"", b"n1 b\nn2 b\n<*> b\n n1\x0bb", b"x" * 999 + b"\n" + b"x" * 1000]
+    found = lines.Lines(texts)
+    assert list(zip(found.place.tolist(), found.number.tolist(), found.size.tolist(), found.constant.tolist())) == [
+        (0, 0, 2, 2), (0, 1, 1, 1), (1, 0, 1, 1), (1, 2, 2, 2),
+        (4, 0, 2, 1), (4, 1, 2, 1), (4, 2, 2, 1), (4, 3, 2, 1), (5, 0, 1, 1), (5, 1, 1, 1),
+    ]
+    line = found.line.tolist()
+    assert line[1] == line[2] and line[4] == line[5] == line[6] == line[7] and len(set(line)) == 6
+    raw = found.raw.to_pylist()
+    assert raw[:4] == [None] * 4 and raw[6] is None and raw[4] == raw[7] != raw[5]
+    assert not len(lines.Lines([]).line) and not len(lines.Lines([None, b" \n"]).raw)
+
+
 def test_lines_of_odd_tables(spark):
     nothing = spark.createDataFrame([], DOCS)
     assert lines.without_repeats(nothing).count() == 0
