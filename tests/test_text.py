@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,15 @@ def test_pairs_of_null_empty_and_single_word_rows(spark):
     df = spark.createDataFrame([(0, None), (1, []), (2, ["a"]), (3, ["a", "b", "a", "b"])], "conv_id long, tokens array<string>")
     found = {(r.a, r.b): r.n for r in phrases.pair_counts(df).collect()}
     assert found == {("a", ""): 1, ("a", "b"): 2, ("b", "a"): 1, ("b", ""): 1}
+
+
+def test_pairs_are_counted_without_a_lambda_and_told_apart(spark):
+    rows = [["a", "bc", "ab", "c"], ["a b", "c", "a", "b c"], [], None, ["x"], ["", "x", None, "y", ""], ["é", "漢🙂", "é", "漢🙂"]]
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(rows)], "conv_id long, tokens array<string>")
+    want = Counter((a, b or "") for row in rows for a, b in zip(row or [], [*(row or [])[1:], ""]))
+    found = phrases.pair_counts(df)
+    assert {(r.a, r.b): r.n for r in found.collect()} == want and found.count() == len(want)
+    pairs = phrases.frequent_pairs(df, 1)
+    assert {(r.a, r.b): r.n_ab for r in pairs.collect()} == {pair: n for pair, n in want.items() if pair[1]}
+    for counted in (found, pairs):
+        assert "lambda" not in counted._jdf.queryExecution().toString()
