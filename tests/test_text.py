@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
 from chatterloom.operators import joins, lemmas, normalize, phrases
+from chatterloom.sources import tables
 
 
 def corpus(spark, docs):
@@ -173,3 +174,13 @@ def test_pairs_are_counted_without_a_lambda_and_told_apart(spark):
     assert {(r.a, r.b): r.n_ab for r in pairs.collect()} == {pair: n for pair, n in want.items() if pair[1]}
     for counted in (found, pairs):
         assert "lambda" not in counted._jdf.queryExecution().toString()
+
+
+def test_texts_are_dealt_in_parts_of_a_size(spark, tmp_path):
+    rows = [(None if i % 9 == 0 else i // 2, f"{i} " * 200 if i % 5 else None) for i in range(400)]
+    spark.createDataFrame(rows, "conv_id long, conversation string").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    dealt = tables.spread(df, "conv_id", "conversation", part_bytes=500)
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert Counter(map(tuple, dealt.collect())) == Counter(rows)
+    assert tables.spread(df, "conv_id", part_bytes=1 << 30).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
