@@ -42,10 +42,14 @@ def _classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or other."""
     import regex
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    # Runs are matched in one text of all code points; a million objects would cost a worker 100 MB.
+    codes = np.arange(0x110000, dtype="<u4")
+    codes = codes[(codes < 0xD800) | (codes >= 0xE000)]
+    every = codes.tobytes().decode("utf-32-le")
     table = np.full(0x110000, _OTHER, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\p{White_Space}")):
-        table[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+        for run in regex.finditer(pattern, every):
+            table[codes[run.start():run.end()]] = kind
     return table
 
 

@@ -96,6 +96,31 @@ def test_stages_take_empty_tables_and_more_columns(spark):
                 assert found.columns == docs.columns, name
 
 
+def test_token_ids_hold_one_python_worker_per_task(spark):
+    """Each Python step in a task has a worker of its own, and executors keep them."""
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "x " * 30_000, "en", "s", 60_000), (2, None, "en", "s", None)], COLUMNS)
+    found = corpus_pipeline.token_ids(spark, docs, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((row.doc_id, row.n_tokens, len(row.ids)) for row in found.collect())[::2] == [(1, 2, 2), (2, 30_001, 30_001)]
+
+
+def test_classes_of_code_points_take_little_memory():
+    import tracemalloc
+
+    import regex
+
+    tracemalloc.start()
+    table = bpe._classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    kinds = {bpe._LETTER: r"\p{L}", bpe._NUMBER: r"\p{N}", bpe._SPACE: r"\p{White_Space}"}
+    for code in [*range(0x3000), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0x1D7CE, 0x20000, 0x10FFFF]:
+        want = next((kind for kind, pattern in kinds.items() if regex.match(pattern, chr(code))), bpe._OTHER)
+        assert table[code] == want
+
+
 @pytest.mark.parametrize("name", ["op5_topk", "op6_mixing", "op7_quality"])
 def test_queries_with_sql_are_registered(name):
     import __spark_entry__
