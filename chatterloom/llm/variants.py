@@ -12,7 +12,8 @@ pivot with its place, the length of the word, the side and what must be the same
 and few candidates fail the verification.
 
 Words are counted inside the tasks before they are shuffled; bigrams are at most the square of the alphabet
-(90 characters), so their order may be sent to all tasks.
+(90 characters), so their order may be sent to all tasks. Tables of words are not: they are joined by a sort, as
+the engine takes the index for as small as the words that it is made of, and a staged table for as small as its file.
 
 Defined results: a null or empty text has no words; a row without a key counts as one with an empty key; repeated
 rows count each; words of equal count are ordered by code points. An empty table gives no words. Other
@@ -198,7 +199,7 @@ def near_words(words: DataFrame, area: StagingArea | None = None) -> DataFrame:
 
     def met(held: DataFrame) -> DataFrame:
         prefixes = _index(held, ranks, False).select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-        return _index(held, ranks, True).join(prefixes, "key").where("word <> other").drop("key")
+        return _index(held, ranks, True).join(prefixes.hint("merge"), "key").where("word <> other").drop("key")
 
     # The built-in distance takes the square of the length, so very long words have a linear test.
     short = met(words.where(F.length("word") <= LONG_CHARS)).where(F.levenshtein("word", "other", EDITS) == EDITS)
@@ -222,7 +223,7 @@ def roots(forms: DataFrame, area: StagingArea) -> DataFrame:
     number = 0
     while True:
         further = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = current.join(further, "root", "left").select(
+        moved = current.join(further.hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")
         )
         number += 1
@@ -241,14 +242,14 @@ def spelling_forms(
     near = near_words(words, area).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("least"), "other")).alias("best")
     )
-    told = words.join(near, "word", "left")
+    told = words.join(near.hint("merge"), "word", "left")
     commoner = -F.col("best.least") >= FORM_RATIO * F.col("n")
     told = area.stage(told.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(commoner, F.col("best.other")).alias("form"), F.when(commoner, -F.col("best.least")).alias("form_n"),
     ), "forms")
     ends = roots(told.where("form IS NOT NULL"), area)
-    return told.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return told.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op13_variants(spark, sf_dir: str) -> DataFrame:

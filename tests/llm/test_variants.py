@@ -126,6 +126,19 @@ def test_long_chains_of_forms(spark):
     assert {r.word: r.root for r in ends} == {word: "w070" for word, _ in chain}
 
 
+def test_tables_of_words_are_not_sent_to_the_tasks(spark, rows, monkeypatch):
+    plans, stage = [], StagingArea.stage
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(StagingArea, "stage", lambda self, df, name: stage(self, planned(df), name))
+    planned(variants.spelling_forms(docs_of(spark, rows)))
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 def test_no_words(spark):
     assert variants.spelling_forms(docs_of(spark, [])).count() == 0
     assert variants.spelling_forms(docs_of(spark, [(1, None), (2, "")])).count() == 0
